@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from nodeweave.llm.common import cut, prepare, table
 
-UNIT, K, S, ANCHORS = 12, 5, 2, 64
+UNIT, K, S, ANCHORS = 12, 4, 2, 64
 LOW = (1 << 32) - 1
 
 
