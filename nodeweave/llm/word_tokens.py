@@ -17,6 +17,17 @@ import numpy as np
 CACHE = 800_000
 #: str.split() parts at these, the tokenizer does not; texts that hold any are encoded whole.
 _OTHER = re.compile("[\x1c-\x1f]")
+#: ASCII punctuation without the apostrophe, which may belong to the letters behind it.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _lower(text: str) -> str:
+    """Lower case where it's surely what the tokenizer makes of each character: in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class WordTokens:
@@ -30,14 +41,25 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if _OTHER.search(x) else x.split() for x in texts]
+        split = [None if _OTHER.search(x) else _lower(x).split() for x in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        new = list(set().union(*(x for x in split if x)).difference(cache))
+        new = set().union(*(x for x in split if x)).difference(cache)
+        # A word with a run of marks behind its last letter is the word's ids, then the run's.
+        parts = [(w, c, w[len(c) :]) for w in new if (c := w.rstrip(_MARKS)) != w and c and c[-1] < "\u0100" and c[-1].isalpha()]
+        new.difference_update([w for w, _, _ in parts])
+        for _, c, run in parts:
+            if c not in cache:
+                new.add(c)
+            if run not in cache:
+                new.add(run)
+        new = list(new)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             cache.update(zip(part, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        for w, c, run in parts:
+            cache[w] = cache[c] + cache[run]
         out = []
         for text, words in zip(texts, split, strict=True):
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if words is None else b"".join(map(cache.__getitem__, words))
