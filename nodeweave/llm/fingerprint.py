@@ -21,10 +21,17 @@ from nodeweave.llm.common import cut, prepare, table
 
 UNIT, K, S, ANCHORS = 12, 4, 2, 64
 LOW = (1 << 32) - 1
+#: Stands for a null id in joins; ids are larger.
+NO_ID = -(1 << 63)
+
+
+def short(h: Column) -> Column:
+    """The upper half of a 64-bit hash."""
+    return F.shiftright(h, 32).cast("int")
 
 
 def with_anchors(df: DataFrame, text: str, out: str, *, unit: int = UNIT, k: int = K, s: int = S, anchors: int = ANCHORS) -> DataFrame:
-    """Add `out`, array<bigint>: the anchors of the text in the order of their first occurrence."""
+    """Add `out`, array<int>: the anchors of the text in the order of their first occurrence."""
     u, m, at = f"{out}_u", f"{out}_m", f"{out}_at"
     df = df.withColumn(u, F.transform(F.regexp_extract_all(text, F.lit(rf"(\S{{1,{unit}}})"), F.lit(1)), lambda x: F.xxhash64(x)))
     upto = lambda array, n: F.when(F.size(array) >= n, F.sequence(F.lit(0), F.size(array) - n)).otherwise(F.array().cast("array<int>"))
@@ -36,16 +43,16 @@ def with_anchors(df: DataFrame, text: str, out: str, *, unit: int = UNIT, k: int
         return (least == F.get(m, i)) | (least == F.get(m, i + last))
 
     inner = range(0, last + 1, s)
-    mer = lambda i: F.xxhash64(*(F.get(m, i + j) for j in inner), F.get(m, i + last)).bitwiseAND(F.lit(LOW))
+    mer = lambda i: short(F.xxhash64(*(F.get(m, i + j) for j in inner), F.get(m, i + last)))
     df = df.withColumn(at, F.transform(F.filter(upto(u, k), closed), mer))
-    one = F.when(F.col(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text).bitwiseAND(F.lit(LOW))))
+    one = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(short(F.xxhash64(text))))
     df = df.withColumn(at, F.when(F.size(at) > 0, F.col(at)).otherwise(one))
     chosen = F.slice(F.sort_array(F.array_distinct(at)), 1, anchors)
     return df.withColumn(out, F.array_intersect(at, chosen)).drop(u, m, at)
 
 
 def as_text(anchors: str) -> Column:
-    return F.concat_ws("", F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")))
+    return F.concat_ws("", F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(LOW)))), 8, "0")))
 
 
 def likeness(a: str, b: str, anchors: int = ANCHORS) -> Column:
@@ -65,12 +72,12 @@ def fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fingerprint
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """Each (id, hash) with the next one by descending id; the last is followed by the first. Null ids come last.
+    """Each (id, hash) with the next one by descending id; the last is followed by the first. Null ids, as NO_ID, come last.
 
     The keys are dealt by ranges, each range is ordered on its own, and the ranges are joined by their first rows, of
     which there are as many as partitions.
     """
-    down = [F.desc_nulls_last("id"), F.asc("hash")]
+    down = [F.desc("id"), F.asc("hash")]
     dealt = keys.repartitionByRange(*down).withColumn("range", F.spark_partition_id())
     dealt = cut(dealt)
     here = Window.partitionBy("range").orderBy(*down)
@@ -88,21 +95,20 @@ def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     Rows that share id and text have one and the same next document, the first other one.
     """
     prepare(docs.sparkSession)
-    base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
+    base = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
     links = cut(successors(base.select("id", "hash", F.length("body").alias("n_chars")).distinct()))
+    # The texts with their anchors are dealt by (id, hash) once: as themselves, and as the next of another.
     full = with_anchors(base, "body", "anchors")
-    link = links.select(F.col("id").alias("l_id"), F.col("hash").alias("l_hash"), "n_chars")
-    heads = full.withColumn("copy", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))).filter("copy = 1")
-    of_next = links.select(F.col("id").alias("p_id"), F.col("hash").alias("p_hash"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "next_id", "next_hash")
-    heads = heads.join(of_next, heads["id"].eqNullSafe(of_next["next_id"]) & (heads["hash"] == of_next["next_hash"]))
-    heads = heads.select("p_id", "p_hash", F.substring("body", F.lit(1), F.col("half")).alias("head"), F.col("anchors").alias("next_anchors"))
-    whole = full.join(link, full["id"].eqNullSafe(link["l_id"]) & (full["hash"] == link["l_hash"])).drop("l_id", "l_hash")
-    both = whole.join(heads, whole["id"].eqNullSafe(heads["p_id"]) & (whole["hash"] == heads["p_hash"]))
+    one_by_one = Window.partitionBy("id", "hash").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = full.withColumn("copy", F.count(F.lit(1)).over(one_by_one)).filter("copy = 1")
+    of_next = links.select(F.col("id").alias("p_id"), F.col("hash").alias("p_hash"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.col("next_id").alias("id"), F.col("next_hash").alias("hash"))
+    heads = heads.join(of_next, ["id", "hash"]).select(F.col("p_id").alias("id"), F.col("p_hash").alias("hash"), F.substring("body", F.lit(1), F.col("half")).alias("head"), F.col("anchors").alias("next_anchors"))
+    both = full.join(links.select("id", "hash", "n_chars"), ["id", "hash"]).join(heads, ["id", "hash"])
     kept = F.substring("body", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
     edited = both.select("id", "n_chars", "anchors", "next_anchors", F.concat(kept, "head").alias("edited"))
     done = with_anchors(edited, "edited", "edited_anchors")
     return done.select(
-        F.col("id").alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"),
+        F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"),
         likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"),
     )
 
