@@ -589,7 +589,7 @@ class Execution:
             raise UnsupportedCypherError("CREATE needs a label")
         base = self.ensure_nodes(table)
         props = {k: self.expr(v) for k, v in self.map_items(node.props)}
-        df = self.frame.withColumn(f"{var}___id", F.monotonically_increasing_id() + mutate.next_id(base, "_id"))
+        df = self.frame.withColumn(f"{var}___id", F.monotonically_increasing_id() + mutate.next_node_id(self.catalog, table))
         df = df.withColumn(f"{var}___labels", F.array(*map(F.lit, self.all_labels(node.labels))))
         for k, v in props.items():
             df = df.withColumn(f"{var}__{k}", v.cast(base.schema[k].dataType) if k in base.columns else v)
@@ -676,7 +676,7 @@ class Execution:
         else:
             have = base.filter(reduce(Column.__and__, (F.array_contains("_labels", x) for x in node.labels))).select(*props).distinct()
             new = wanted.join(have, list(props), "left_anti")
-        before = mutate.next_id(base, "_id")
+        before = mutate.next_node_id(self.catalog, table)
         self.catalog = mutate.create_nodes(self.catalog, table, new, self.all_labels(node.labels))
         full = self.catalog.nodes(table)
         found = full.filter(reduce(Column.__and__, (F.array_contains("_labels", x) for x in node.labels)))

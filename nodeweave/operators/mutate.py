@@ -29,6 +29,19 @@ def next_id(df: DataFrame, column: str) -> int:
     return (df.agg(F.max(column)).first()[0] or 0) + 1
 
 
+#: Ids of a label lie in a range of their own, so that an edge's end is one node of all labels.
+RANGE_BITS = 50
+
+
+def next_node_id(catalog: Catalog, label: str) -> int:
+    """One more than the largest id of the label; for its first node the start of the next free range."""
+    most = catalog.nodes(label).agg(F.max("_id")).first()[0]
+    if most is not None:
+        return most + 1
+    others = [catalog.nodes(x).agg(F.max("_id")).first()[0] for x in catalog.node_tables.keys() if x != label]
+    return (max([(m >> RANGE_BITS) + 1 for m in others if m is not None], default=0) << RANGE_BITS) + 1
+
+
 def create_nodes(catalog: Catalog, label: str, rows: DataFrame, labels: Sequence[str] = ()) -> Catalog:
     """Append nodes; ids go on from the largest, unless the rows have them. Nothing is merged: the same key twice is two nodes."""
     base = catalog.nodes(label)
@@ -36,7 +49,7 @@ def create_nodes(catalog: Catalog, label: str, rows: DataFrame, labels: Sequence
         rows = rows.withColumn("_labels", F.array(*(F.lit(x) for x in labels or (label,))))
     if "_id" not in rows.columns:
         # row numbers of partitions depend on the plan, so they are fixed at once
-        rows = cut(rows.withColumn("_id", F.monotonically_increasing_id() + next_id(base, "_id")))
+        rows = cut(rows.withColumn("_id", F.monotonically_increasing_id() + next_node_id(catalog, label)))
     wide = with_columns(base, rows)
     return catalog.with_nodes(label, wide.unionByName(aligned(rows, wide)))
 
