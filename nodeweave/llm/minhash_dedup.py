@@ -5,11 +5,16 @@
    more, so but for a chance of MISS they share `least` values, and the whole required overlap where a set is no larger
    than its sketch. By the pigeonhole principle two such sketches share one of their (size - least + 1) rarest values:
    inverted lists are made of those alone, so common shingles make no long lists.
-3. Lists give pairs in rounds. First each member is paired with the list's hub, the member with the most common values;
-   that is linear in the lists and joins a group of any number of copies. Then lists whose members are still in several
-   components give the pairs across components. Pairs within one component can't change the result and are never made.
-4. The sketch of a pair's union estimates its similarity; pairs that may reach the threshold are verified on full sets.
-5. Connected components of the verified links.
+3. First each member of a list is paired with the list's hub, the member with the most common values; that is linear in
+   the lists and joins most of a group of any number of copies. Then lists of at most SMALL members give the pairs across
+   the components so far; pairs within one can't change the result and are never made.
+4. Documents of longer lists that are still in several components are listed anew, by the rarest values of their full
+   sets: two sets as similar as asked share one of the rarest fifth or so, which few unrelated ones do. What lists are
+   then long, as of a large group with many edits each, is decided without a row per pair: documents meet in blocks,
+   each block counts the common values of all its pairs by matrix products, and returns links that connect components
+   of the block, no more of them than documents.
+5. The sketch of a pair's union estimates its similarity; pairs that may reach the threshold are verified on full sets.
+6. Connected components of the verified links.
 
 Null text, or text without a word, has the empty set, and is linked with nothing. With fewer words than a shingle has,
 the whole sequence is the one shingle. Rows with null id are linked like others; an id below 2**62 is assumed, and their
@@ -24,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeweave.llm.common import cut, new_folder, prepare, table
 from nodeweave.llm.components import components
 
-SKETCH, MISS = 48, 1e-9
-#: Hub rounds before all pairs across components are made.
-HUB_ROUNDS = 2
+SKETCH, MISS = 48, 1e-6
+#: Members of a list that are paired one by one, and documents in a block of those that are not.
+SMALL, BLOCK = 24, 512
 NO_ID = 1 << 62
 #: Up to so many pairs of longs are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -105,17 +111,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(x, width) for x in b["text"].to_pylist()], pa.list_(pa.int64()))], names=["id", "items"])
 
-    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(wanted) if small else wanted, ["id", "text_hash"], "left_semi").select("id", "text").mapInArrow(run, "id bigint, items array<bigint>")
+    return picked(docs, wanted, ["id", "text_hash"]).select("id", "text").mapInArrow(run, "id bigint, items array<bigint>")
 
 
 def similar_size(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = SKETCH, hub_rounds: int = HUB_ROUNDS,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """One row per row of `docs`: doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept."""
     spark = docs.sparkSession
     prepare(spark)
@@ -125,48 +128,29 @@ def near_duplicates(
     folder = new_folder(spark, "sketches")
     sketches(rows, width, k).write.parquet(folder)
     every = spark.read.parquet(folder)
-    first = F.struct("id", "text_hash")
-    classes = every.filter("n > 0").groupBy("n", "set1", "set2").agg(F.min_by(F.struct("id", "text_hash", "sketch"), first).alias("x"))
+    classes = every.filter("n > 0").groupBy("n", "set1", "set2").agg(F.min_by(F.struct("id", "text_hash", "sketch"), F.struct("id", "text_hash")).alias("x"))
     classes = cut(classes.select("n", "set1", "set2", "x.*"))
+    check = lambda pairs: verified(rows, classes, pairs, width, percent, k, least)
 
-    # Values in order of frequency; only the rarest of a sketch are listed.
-    entries = classes.select("id", "n", F.explode("sketch").alias("v"))
-    common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    counted = entries.join(common, "v", "left").select("id", "n", "v", F.coalesce("df", F.lit(1)).alias("df"))
-    whole = F.expr(f"(n * {percent} + 99) div 100")  # the overlap that a set of n needs
+    whole = f"(n * {percent} + 99) div 100"  # the overlap that a set of n needs
     partner_may_be_cut = F.col("n") * 100 > F.lit(k * percent)
-    need = F.when(partner_may_be_cut, F.least(whole, F.lit(least))).otherwise(whole)
-    ranked = counted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum("df").alias("weight"))
-    lists = ranked.select("id", "n", (F.col("weight") / F.size("by_df")).alias("weight"), F.explode(F.slice("by_df", F.lit(1), (F.size("by_df") - need + 1).cast("int"))).alias("e")).filter("e.df > 1")
-    lists = cut(lists.select(F.col("e.v").alias("v"), "id", "n", "weight"))
-
-    labels, links, tested = None, None, None
-    for turn in range(hub_rounds + 1):
-        open_lists = lists
-        if labels is not None:
-            named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-            several = named.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("v")
-            open_lists = named.join(several, "v")
-        if turn < hub_rounds:
-            # Another hub each time: by the most common values, then by a hash.
-            by = F.struct(F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn)), "id")
-            hubs = open_lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), by).alias("hub"))
-            pairs = open_lists.join(hubs, "v").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), "n", F.col("hub.n").alias("m"), *(["label"] if labels is not None else []))
-            pairs = pairs.filter(F.col("a") < F.col("b"))
-        else:
-            left = open_lists.select("v", F.col("id").alias("a"), "n", F.col("label").alias("la"))
-            right = open_lists.select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
-            pairs = left.join(right, "v").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-        pairs = pairs.filter(similar_size("n", "m", percent)).select("a", "b").distinct()
-        if labels is not None:
-            ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
-            pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = verified(rows, classes, pairs, width, percent, k, least)
-        links = found if links is None else links.union(found)
+    need = F.when(partner_may_be_cut, F.least(F.expr(whole), F.lit(least))).otherwise(F.expr(whole))
+    lists = rarest(classes.select("id", "n", F.col("sketch").alias("items")), need)
+
+    hubs = lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("weight", "id")).alias("hub"))
+    pairs = lists.join(hubs, "v").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), "n", F.col("hub.n").alias("m"))
+    pairs = cut(pairs.filter((F.col("a") < F.col("b")) & similar_size("n", "m", percent)).select("a", "b").distinct())
+    links = check(pairs)
+    labels = components(links)
+
+    few, many = by_length(lists, labels)
+    found = check(cut(across(few, percent).join(pairs, ["a", "b"], "left_anti")))
+    links = links.union(found)
+    labels = components(links)
+
+    crowded = cut(many.select("id").join(classes.select("id", "text_hash"), "id").distinct())
+    if not crowded.isEmpty():
+        links = links.union(within_crowd(rows, crowded, labels, width, percent, whole, check))
         labels = components(links)
 
     of_class = classes.select("n", "set1", "set2", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("n", "set1", "set2", F.coalesce("label", "id").alias("label"))
@@ -174,9 +158,128 @@ def near_duplicates(
     return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"), (F.col("id") == F.col("label")).alias("kept"))
 
 
+def rarest(sets: DataFrame, need: Column) -> DataFrame:
+    """Inverted lists (v, id, n, weight): of each set's `items` the rarest, one more than may be missing from an overlap
+    of `need`; values that only one set has are left out. weight: how common a set's values are."""
+    entries = sets.select("id", "n", F.size("items").alias("size"), F.explode("items").alias("v"))
+    common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = entries.join(common, "v").groupBy("id", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum("df").alias("weight"))
+    # the values of one set alone come first and take their part of the length
+    length = F.col("size") - need + 1 - (F.col("size") - F.size("by_df"))
+    listed = ranked.filter(length > 0).select("id", "n", (F.col("weight") / F.col("size")).alias("weight"), F.explode(F.slice("by_df", F.lit(1), length.cast("int"))).alias("e"))
+    return cut(listed.select(F.col("e.v").alias("v"), "id", "n", "weight"))
+
+
+def named(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def by_length(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists that are still in several components, with labels: short ones, and long ones."""
+    with_labels = named(lists, labels)
+    sizes = with_labels.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high").select("v", "members")
+    open_lists = cut(with_labels.join(sizes, "v"))
+    return open_lists.filter(F.col("members") <= SMALL), open_lists.filter(F.col("members") > SMALL)
+
+
+def across(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of one short list in different components."""
+    left = lists.select("v", F.col("id").alias("a"), "n", F.col("label").alias("la"))
+    right = lists.select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
+    on = (left["v"] == right["v"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & similar_size("n", "m", percent)
+    return left.join(right, on).select("a", "b").distinct()
+
+
+def within_crowd(rows: DataFrame, crowded: DataFrame, labels: DataFrame, width: int, percent: int, whole: str, check) -> DataFrame:
+    """Links (a, b) among the documents of long lists, across the components in `labels`."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, "crowded")
+    full_sets(rows, crowded, width).groupBy("id").agg(F.first("items").alias("items")).withColumn("n", F.size("items").cast("bigint")).write.parquet(folder)
+    sets = spark.read.parquet(folder)
+    few, many = by_length(rarest(sets, F.expr(whole)), labels)
+    links = check(cut(across(few, percent)))
+    if many.isEmpty():
+        return links
+    # Documents that long lists connect are one crowd; those outside its largest component meet all of it.
+    hubs = many.groupBy("v").agg(F.min("id").alias("b"))
+    crowds = components(many.join(hubs, "v").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    members = cut(named(crowds.select(F.col("node").alias("id"), F.col("label").alias("crowd")), labels))
+    by_part = members.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("docs"))
+    sizes = by_part.groupBy("crowd").agg(F.max_by("label", "docs").alias("largest"), F.ceil(F.sum("docs") / BLOCK).alias("blocks"))
+    placed = members.join(sizes, "crowd").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    columns = packed(placed.select("crowd", "block", "id", "label", "items"), "block")
+    outside = placed.filter("label <> largest").select("crowd", F.col("block").alias("rows"), "blocks", "id", "label", "items")
+    sought = packed(outside.select("crowd", "rows", "id", "label", "items"), "rows").join(sizes.select("crowd", "blocks"), "crowd").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    met = sought.select("crowd", "block", *(F.col(c).alias(f"x_{c}") for c in ("ids", "labels", "ends", "items"))).join(columns, ["crowd", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                get = lambda name: b[name][i].values.to_numpy()  # noqa: B023, E731
+                one, two = ([get(f"{x}{c}") for c in ("ids", "labels", "ends", "items")] for x in ("x_", ""))
+                yield pa.RecordBatch.from_pydict(dict(zip("ab", block_links(one, two, percent), strict=True)))
+
+    return links.union(cut(met.mapInArrow(run, "a bigint, b bigint")))
+
+
+def packed(docs: DataFrame, by: str) -> DataFrame:
+    """One row per crowd and block, of about BLOCK documents: ids, labels, ends of the sets, and the sets behind each other."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        sets = t["items"].chunk(0)
+        ends = np.cumsum(pa.compute.list_value_length(sets).to_numpy()).astype(np.int64)
+        longs = pa.list_(pa.int64())
+        cols = [t["id"].to_numpy(), t["label"].to_numpy(), ends, sets.flatten().to_numpy()]
+        return pa.table({"crowd": t["crowd"][:1], by: t[by][:1], **{n: pa.array([c], longs) for n, c in zip(("ids", "labels", "ends", "items"), cols, strict=True)}})
+
+    longs = ", ".join(f"{n} array<bigint>" for n in ("ids", "labels", "ends", "items"))
+    return docs.groupBy("crowd", by).applyInArrow(pack, f"crowd bigint, {by} bigint, {longs}")
+
+
+def block_links(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links between two blocks across components, a spanning forest of the components that they connect."""
+    (ids, labels, ends, items), (ids2, labels2, ends2, items2) = one, two
+    values = np.intersect1d(items, items2)
+    sizes, sizes2 = np.diff(ends, prepend=0), np.diff(ends2, prepend=0)
+    shared = np.zeros((len(ids), len(ids2)), np.float32)
+    places = []
+    for own, size in ((items, sizes), (items2, sizes2)):
+        at = np.searchsorted(values, own)
+        at[at == len(values)] = 0
+        held = values[at] == own if len(values) else np.zeros(len(own), bool)
+        places.append((np.repeat(np.arange(len(size)), size)[held], at[held]))
+    for low in range(0, len(values), 4096):
+        dense = []
+        for (doc, at), n in zip(places, (len(ids), len(ids2)), strict=True):
+            here = (at >= low) & (at < low + 4096)
+            m = np.zeros((n, min(4096, len(values) - low)), np.float32)
+            m[doc[here], at[here] - low] = 1
+            dense.append(m)
+        shared += dense[0] @ dense[1].T
+    near = shared * 100 >= (sizes[:, None] + sizes2[None, :] - shared) * percent
+    i, j = np.nonzero(near & (labels[:, None] != labels2[None, :]))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = []
+    _, first = np.unique(np.stack([labels[i], labels2[j]]), axis=1, return_index=True)
+    for at in first.tolist():
+        a, b = root(int(labels[i[at]])), root(int(labels2[j[at]]))
+        if a != b:
+            parent[a] = b
+            keep.append(at)
+    return ids[i[keep]], ids2[j[keep]]
+
+
 def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, k: int, least: int) -> DataFrame:
     """Those (a, b) whose full sets reach the threshold, after the estimate by sketches."""
-    brief = classes.select("id", "n", "text_hash", "sketch")
+    brief = picked(classes.select("id", "n", "text_hash", "sketch"), pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), ["id"])
     a, b = (brief.select(*(F.col(c).alias(f"{x}_{c}") for c in ("text_hash", "n", "sketch")), F.col("id").alias(x)) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
     union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
@@ -185,13 +288,19 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     likely = F.when(exact, F.col("shared") * 100 >= F.size("u") * percent).otherwise(F.col("shared") >= least)
     left = cut(both.filter(likely).select("a", "b", "a_n", "b_n", "a_text_hash", "b_text_hash"))
     wanted = left.select(F.col("a").alias("id"), F.col("a_text_hash").alias("text_hash")).union(left.select("b", "b_text_hash")).distinct()
-    wanted = cut(wanted)
     sets = full_sets(rows, wanted, width).groupBy("id").agg(F.first("items").alias("items"))
     got = left.select("a", "b", "a_n", "b_n").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return cut(got.select("a", "b", "a_n", "b_n", shared.alias("shared")).filter(f"shared * 100 >= (a_n + b_n - shared) * {percent}").select("a", "b"))
 
 
+def picked(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of `df` whose key is in `wanted`: by broadcast up to BROADCAST_IDS keys, else by a shuffle."""
+    wanted = cut(wanted)
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(wanted) if small else wanted, on, "left_semi")
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each group the row with the smallest id stays, once."""
     kept = near_duplicates(docs, doc_id=doc_id, text=text, **how).filter("kept").select(F.col("doc_id").alias("__nw_id"), F.col("text_hash").alias("__nw_hash")).distinct()
