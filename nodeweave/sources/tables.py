@@ -214,4 +214,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "REPLIES_TO": lambda: edges(turns().filter("turn > 0"), gid("Turn", "key"), gid("Turn", F.col("key") - 1), eid=F.col("key")),
         "RING": lambda: ring(spark),
     })
-    return Catalog(spark, node_tables, edge_tables)
+    # Rows that are both the edge and its end: that end is there by construction.
+    complete = frozenset({("PLACED", "", "Order"), ("FROM_NATION", "Party", ""), ("BASED_IN", "Party", ""), ("IN_REGION", "Nation", ""), ("DID", "User", "Event"), ("NEXT", "Event", "Event"), ("HAS_LABEL", "", "Label"), ("REPLIES_TO", "Turn", "")})
+    return Catalog(spark, node_tables, edge_tables, complete=complete)
