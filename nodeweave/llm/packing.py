@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeweave.llm.common import prepare, table
-from nodeweave.llm.word_tokens import word_tokens
+from nodeweave.llm.word_tokens import CACHE, word_tokens
 
 LENGTH, SEPARATOR, SHARD = 2048, 1, 1 << 20
 #: A token's weight, and that of a pair of tokens of one piece: with 4096 wide layers, attention's share at 2048 tokens.
@@ -87,8 +87,12 @@ class Packer:
 def pack(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, separator: int = SEPARATOR,
     length: int = LENGTH, shard: int = SHARD, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = False,
+    words_kept: int = CACHE,
 ) -> DataFrame:
-    """One row per piece: `key`, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked for."""
+    """One row per piece: `key`, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked for.
+
+    A worker keeps the ids of up to `words_kept` words, at about 200 bytes each.
+    """
     import public_tokenizers
 
     prepare(docs.sparkSession)
@@ -96,7 +100,7 @@ def pack(
     types = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = word_tokens(path), Packer(length, shard, linear, quadratic)
+        words, packer = word_tokens(path, words_kept), Packer(length, shard, linear, quadratic)
         base = TaskContext.get().partitionId() << 40
         key_type = None
 

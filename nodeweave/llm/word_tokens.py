@@ -13,8 +13,8 @@ from array import array
 
 import numpy as np
 
-#: Words kept in a worker, at about 150 bytes each.
-CACHE = 800_000
+#: Words kept in a worker, at about 200 bytes each.
+CACHE = 1_000_000
 #: str.split() parts at these, the tokenizer does not; texts that hold any are encoded whole.
 _OTHER = re.compile("[\x1c-\x1f]")
 #: ASCII punctuation without the apostrophe, which may belong to the letters behind it.
@@ -31,18 +31,22 @@ def _lower(text: str) -> str:
 
 
 class WordTokens:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kept = kept
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # of the tokens that end a run of letters
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [None if _OTHER.search(x) else _lower(x).split() for x in texts]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.kept:
             self.cache.clear()
         cache = self.cache
         new = set().union(*(x for x in split if x)).difference(cache)
@@ -54,9 +58,16 @@ class WordTokens:
                 new.add(c)
             if run not in cache:
                 new.add(run)
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        # Words of Latin-1 letters are one run each, so many are encoded as one text and parted at the ends of runs.
+        plain = [w for w in new if w.isalpha() and max(w) < "\u0100"]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends, held = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            cache.update(zip(part, [held[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = list(new.difference(plain))
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
             cache.update(zip(part, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
         for w, c, run in parts:
             cache[w] = cache[c] + cache[run]
@@ -67,6 +78,6 @@ class WordTokens:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str, kept: int = CACHE) -> WordTokens:
+    return WordTokens(path, kept)
