@@ -47,10 +47,10 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 
 
 class WordHashes(dict):
-    """Hashes of words seen before, bounded."""
+    """Hashes of words seen before, bounded; a partition starts with none, so that workers don't hold them on."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -100,6 +100,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
                 [b["id"], b["doc_id"], b["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s[:k] for s in sets], pa.list_(pa.int64()))],
                 names=["id", "doc_id", "text_hash", "n", "set1", "set2", "sketch"],
             )
+        word_hashes().clear()
 
     return docs.mapInArrow(run, "id bigint, doc_id bigint, text_hash bigint, n bigint, set1 bigint, set2 bigint, sketch array<bigint>")
 
@@ -110,6 +111,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(x, width) for x in b["text"].to_pylist()], pa.list_(pa.int64()))], names=["id", "items"])
+        word_hashes().clear()
 
     return picked(docs, wanted, ["id", "text_hash"]).select("id", "text").mapInArrow(run, "id bigint, items array<bigint>")
 
