@@ -154,9 +154,13 @@ def fit(
     frequency[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + frequency)) + 1.0
 
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     languages = sorted(top)
+    # Hashes low enough for a few times the sample; the rest need not be ranked.
+    low = {x: -(1 << 63) + min((1 << 64) - 1, (4 * per_language << 64) // n) for x, n in top.items()}
     hashed = rows.filter(F.col("lang").isin(languages)).withColumn("hash", F.xxhash64("lang", "text"))
+    if low:
+        hashed = hashed.filter(F.col("hash") <= F.create_map(*(F.lit(v) for pair in low.items() for v in pair))[F.col("lang")])
     ranked = hashed.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("rank") <= per_language)
     # per_language * max_languages rows of 16 bytes at most
     chosen = hashed.join(F.broadcast(ranked.drop("rank")), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text"))
