@@ -168,4 +168,21 @@ def read_back(formatted: DataFrame, *, ranks_path: str | None = None) -> DataFra
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return read_back(format_turns(turns.unionByName(probe)))
+    return read_back(format_turns(turns.unionByName(probe))).drop("n_tokens")
+
+
+#: The same rows without any token: a control string inside a text gets one backslash more.
+ORACLE = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*s>|<\\*/s>|\[\\*(INST|/INST|OUT|ROLE|/ROLE|END)\]')) AS escaped,
+    length(role) + len(regexp_extract_all(role, '<\\*s>|<\\*/s>|\[\\*(INST|/INST|OUT|ROLE|/ROLE|END)\]')) AS escaped_role FROM t
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(escaped + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 18 + escaped_role END) AS chars FROM f GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""

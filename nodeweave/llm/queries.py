@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others train models, run tokenizers, hash text step by step, or return fingerprints of their own.
-ORACLE_SQL: dict[str, str] = {"op10_exact_topk": topk_search.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat_format.ORACLE, "op2_minhash_near_dedup": minhash_dedup.ORACLE, "op10_exact_topk": topk_search.ORACLE}
