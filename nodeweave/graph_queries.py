@@ -16,7 +16,7 @@ from nodeweave.plans.builder import QueryBuilder, select
 from nodeweave.plans.compiler import count_query
 from nodeweave.plans.spec import FulltextSource, VectorSource
 from nodeweave.sources.catalog import Catalog
-from nodeweave.sources.tables import Customer, Document, Event, Item, Label, LineItem, Nation, Order, Part, Party, Region, Supplier, Turn, catalog
+from nodeweave.sources.tables import Customer, Document, Event, Item, Label, LineItem, Nation, Order, OrderStatus, Part, Party, Region, Supplier, Turn, catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,6 +161,11 @@ def p14_datetime_range(c):
     return select(Order).where(Order.date >= datetime(1995, 1, 1)).where(Order.date < datetime(1996, 1, 1)).project(Order.key, Order.date)
 
 
+@query("SELECT o_orderkey AS n_key FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderstatus <> 'F'")
+def p14_enum_param(c):
+    return select(Order).where(Order.status.in_([OrderStatus.FINISHED, OrderStatus.PARTIAL])).where(Order.status != OrderStatus.FINISHED).project(Order.key)
+
+
 # --- results
 
 
@@ -587,6 +592,30 @@ def j2_event_next(c):
     return select(Event).alias("e").where(Event.kind == "click").traverse(Event.next, optional=False).alias("f").project("e.key", "f.key")
 
 
+# --- schemas and revisions, as rows
+
+
+@query("""SELECT * FROM (VALUES (0, 'op.drop_constraint(''UNIQUE'', ''NODE'', ''A'', (''x'',))'), (1, 'op.drop_range_index(''A'', ''x'')'),
+(2, 'op.create_range_index(''A'', ''y'')'), (3, 'op.create_fulltext_index(''A'', ''t'', stopwords=[''the''])')) t("at", operation)""")
+def x10_manifest_diff(c):
+    from nodeweave.migrate.manifest import FulltextIndex, RangeIndex, SchemaManifest, UniqueConstraint, diff
+
+    live = SchemaManifest([RangeIndex("A", "x")], constraints=[UniqueConstraint("NODE", "A", ("x",))])
+    up, _ = diff(live, SchemaManifest([RangeIndex("A", "y")], [FulltextIndex("A", ("t",), stopwords=("the",))]))
+    return c.spark.createDataFrame([(i, o.render()) for i, o in enumerate(up)], "at int, operation string")
+
+
+@query("""SELECT * FROM (VALUES (0, 'b'), (1, 'c'), (2, 'd'), (3, 'e')) t("at", revision)""")
+def m3_topological_path(c):
+    from pathlib import Path
+
+    from nodeweave.migrate.scripts import Revision, ScriptDirectory
+
+    parents = {"a": (), "b": ("a",), "c": ("a",), "d": ("b", "c"), "e": ("d",)}
+    scripts = ScriptDirectory(Path(), {r: Revision(r, down, "", Path(), None) for r, down in parents.items()})
+    return c.spark.createDataFrame(list(enumerate(scripts.upgrade_path({"a"}))), "at int, revision string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders over 100,000 of each customer of one segment, and their revenue."""
     c = catalog(spark, sf_dir)

@@ -6,6 +6,7 @@ so filters on properties and the choice of columns reach Parquet.
 
 from __future__ import annotations
 
+import enum
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,9 +77,15 @@ class Part(Node):
     orders: list = Relation("CONTAINS", "INCOMING", "Order", edge_model=LineItem)
 
 
+class OrderStatus(enum.Enum):
+    FINISHED = "F"
+    OPEN = "O"
+    PARTIAL = "P"
+
+
 class Order(Node):
     key: int = Field(primary_key=True)
-    status: str
+    status: OrderStatus
     price: float
     date: datetime
     priority: str
