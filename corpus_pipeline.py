@@ -36,8 +36,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 ids."""
-    return packing.pack(docs)
+    """Pieces of the documents in sequences of 2048 ids; workers that have run other stages keep fewer words."""
+    return packing.pack(docs, words_kept=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
