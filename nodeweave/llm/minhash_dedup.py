@@ -140,13 +140,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     lists = rarest(classes.select("id", "n", F.col("sketch").alias("items")), need)
 
     hubs = lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("weight", "id")).alias("hub"))
-    pairs = lists.join(hubs, "v").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), "n", F.col("hub.n").alias("m"))
-    pairs = cut(pairs.filter((F.col("a") < F.col("b")) & similar_size("n", "m", percent)).select("a", "b").distinct())
+    # The hub comes first: its set is joined to its many pairs while these are short, which then part by their other ends.
+    pairs = lists.join(hubs, "v").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), "n", F.col("hub.n").alias("m"))
+    pairs = cut(pairs.filter((F.col("a") != F.col("b")) & similar_size("n", "m", percent)).select("a", "b").distinct())
     links = check(pairs)
     labels = components(links)
 
     few, many = by_length(lists, labels)
-    found = check(cut(across(few, percent).join(pairs, ["a", "b"], "left_anti")))
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = check(cut(across(few, percent).join(tested, ["a", "b"], "left_anti")))
     links = links.union(found)
     labels = components(links)
 
