@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from nodeweave.llm.common import prepare, table
+from nodeweave.llm.common import prepare, release, table
 
 BITS, WINDOW = 15, 1 << 20
 PER_LANGUAGE, MAX_LANGUAGES = 600, 64
@@ -146,6 +146,7 @@ def fit(
                     n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1)), "df": pa.array(np.append(df[at], n))})
+        release()
 
     df = rows.select("text").mapInArrow(frequencies, "bucket bigint, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).collect()  # `size` rows at most
     found = {r["bucket"]: r["df"] for r in df}
@@ -190,6 +191,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", lang_out: str
         for b in batches:
             got = [own.predict(x) for x in b[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, lang_out, score_out])
+        release()
 
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
 

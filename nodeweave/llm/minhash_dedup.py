@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeweave.llm.common import cut, new_folder, prepare, table
+from nodeweave.llm.common import cut, new_folder, prepare, release, table
 from nodeweave.llm.components import components
 
 SKETCH, MISS = 48, 1e-6
@@ -101,6 +101,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
                 names=["id", "doc_id", "text_hash", "n", "set1", "set2", "sketch"],
             )
         word_hashes().clear()
+        release()
 
     return docs.mapInArrow(run, "id bigint, doc_id bigint, text_hash bigint, n bigint, set1 bigint, set2 bigint, sketch array<bigint>")
 
@@ -112,6 +113,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(x, width) for x in b["text"].to_pylist()], pa.list_(pa.int64()))], names=["id", "items"])
         word_hashes().clear()
+        release()
 
     return picked(docs, wanted, ["id", "text_hash"]).select("id", "text").mapInArrow(run, "id bigint, items array<bigint>")
 

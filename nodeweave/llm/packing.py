@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeweave.llm.common import prepare, table
+from nodeweave.llm.common import prepare, release, table
 from nodeweave.llm.word_tokens import CACHE, word_tokens
 
 LENGTH, SEPARATOR, SHARD = 2048, 1, 1 << 20
@@ -122,6 +122,7 @@ def pack(
             yield rows(piece for k, x in zip(b[key].to_pylist(), ids, strict=True) for piece in packer.add(k, x))
         if key_type is not None:
             yield rows(packer.finish())
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` bigint" for n, _ in types) + (", ids array<bigint>" if with_ids else ""))

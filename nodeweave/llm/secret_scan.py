@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeweave.llm.common import prepare, table
+from nodeweave.llm.common import prepare, release, table
 
 #: Kinds of the fixed patterns, in the order that breaks ties, and the kind that the models add.
 BASE_KINDS, MODEL_KIND = ("assign", "access", "hex"), "random"
@@ -181,6 +181,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", n_cha
             columns = {name: b[name] for name in b.schema.names}
             columns[text] = pa.array(out, columns[text].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        release()
 
     done = docs.mapInArrow(run, docs.schema)
     if n_chars in docs.columns:
