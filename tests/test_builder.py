@@ -114,3 +114,19 @@ def test_misuse(session):
         session.scalars(select(Writer).where(Text.title == "x"))
     with pytest.raises(MetadataError):
         select(Writer).alias("a").traverse(Writer.friends).alias("a")
+
+
+def test_carried_aliases(session):
+    stmt = select(Writer).alias("u").where(Writer.age < 29).with_("u").traverse(Writer.texts, optional=False).alias("t").project("u.id", "t.id").order_by("t.id")
+    assert [(r["u.id"], r["t.id"]) for r in session.all_rows(stmt)] == [("bob", "t2"), ("bob", "t3")]
+    with pytest.raises(MetadataError):
+        session.all_rows(select(Writer).alias("u").with_("x").traverse(Writer.texts).alias("t"))
+
+
+def test_known_ends_skip_the_target(spark):
+    from nodeweave.sources.tables import Customer, catalog
+
+    c = catalog(spark, "/root/testdata/sf0.001")
+    plan = select(Customer).alias("c").traverse(Customer.orders, optional=False).alias("o").aggregate(count().as_("n"), group_by="c.key").to_df(c)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
+    assert sum(r["n"] for r in plan.collect()) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()

@@ -126,3 +126,13 @@ def test_enum_round_trip(graph):
         s.add(Text(id="a", title="T", status=Status.PUBLISHED))
     t = Session(graph).get(Text, "a")
     assert t.status is Status.PUBLISHED and t.tags == [] and t.created is None
+
+
+def test_defaults_are_not_shared():
+    a, b = Text(id="1", title="x"), Text(id="2", title="y")
+    a.tags.append("t")
+    assert b.tags == []
+    with pytest.raises(TypeError):
+        Text(id="3")
+    with pytest.raises(TypeError):
+        Text(id="3", title="x", wrong=1)
