@@ -39,7 +39,7 @@ from nodeweave.llm.components import components
 
 SKETCH, MISS = 48, 1e-6
 #: Members of a list that are paired one by one, and documents in a block of those that are not.
-SMALL, BLOCK = 24, 512
+SMALL, BLOCK = 24, 1024
 NO_ID = 1 << 62
 #: Up to so many pairs of longs are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -164,12 +164,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"), (F.col("id") == F.col("label")).alias("kept"))
 
 
-def rarest(sets: DataFrame, need: Column) -> DataFrame:
+def rarest(sets: DataFrame, need: Column, folder: str | None = None) -> DataFrame:
     """Inverted lists (v, id, n, weight): of each set's `items` the rarest, one more than may be missing from an overlap
-    of `need`; values that only one set has are left out. weight: how common a set's values are."""
+    of `need`; values that only one set has are left out. weight: how common a set's values are.
+
+    With `folder`, each set's values that others have too are written there, as by_df, by falling rarity.
+    """
     entries = sets.select("id", "n", F.size("items").alias("size"), F.explode("items").alias("v"))
     common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = entries.join(common, "v").groupBy("id", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum("df").alias("weight"))
+    if folder is not None:
+        ranked.write.parquet(folder)
+        ranked = sets.sparkSession.read.parquet(folder)
     # the values of one set alone come first and take their part of the length
     length = F.col("size") - need + 1 - (F.col("size") - F.size("by_df"))
     listed = ranked.filter(length > 0).select("id", "n", (F.col("weight") / F.col("size")).alias("weight"), F.explode(F.slice("by_df", F.lit(1), length.cast("int"))).alias("e"))
@@ -202,7 +208,8 @@ def within_crowd(rows: DataFrame, crowded: DataFrame, labels: DataFrame, width:
     folder = new_folder(spark, "crowded")
     full_sets(rows, crowded, width).groupBy("id").agg(F.first("items").alias("items")).withColumn("n", F.size("items").cast("bigint")).write.parquet(folder)
     sets = spark.read.parquet(folder)
-    few, many = by_length(rarest(sets, F.expr(whole)), labels)
+    shared = new_folder(spark, "shared")
+    few, many = by_length(rarest(sets, F.expr(whole), shared), labels)
     links = check(cut(across(few, percent)))
     if many.isEmpty():
         return links
@@ -212,45 +219,50 @@ def within_crowd(rows: DataFrame, crowded: DataFrame, labels: DataFrame, width:
     members = cut(named(crowds.select(F.col("node").alias("id"), F.col("label").alias("crowd")), labels))
     by_part = members.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("docs"))
     sizes = by_part.groupBy("crowd").agg(F.max_by("label", "docs").alias("largest"), F.ceil(F.sum("docs") / BLOCK).alias("blocks"))
-    placed = members.join(sizes, "crowd").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    columns = packed(placed.select("crowd", "block", "id", "label", "items"), "block")
-    outside = placed.filter("label <> largest").select("crowd", F.col("block").alias("rows"), "blocks", "id", "label", "items")
-    sought = packed(outside.select("crowd", "rows", "id", "label", "items"), "rows").join(sizes.select("crowd", "blocks"), "crowd").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    met = sought.select("crowd", "block", *(F.col(c).alias(f"x_{c}") for c in ("ids", "labels", "ends", "items"))).join(columns, ["crowd", "block"])
+    # Values that no other set has count in a set's size alone.
+    held = spark.read.parquet(shared).select("id", "n", F.transform("by_df", lambda e: e["v"]).alias("items"))
+    placed = members.join(sizes, "crowd").join(held, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    columns = packed(placed.select("crowd", "block", "id", "label", "n", "items"), "block")
+    outside = placed.filter("label <> largest").select("crowd", F.col("block").alias("rows"), "blocks", "id", "label", "n", "items")
+    sought = packed(outside.select("crowd", "rows", "id", "label", "n", "items"), "rows").join(sizes.select("crowd", "blocks"), "crowd").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    met = sought.select("crowd", "block", *(F.col(c).alias(f"x_{c}") for c in PACKED)).join(columns, ["crowd", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 get = lambda name: b[name][i].values.to_numpy()  # noqa: B023, E731
-                one, two = ([get(f"{x}{c}") for c in ("ids", "labels", "ends", "items")] for x in ("x_", ""))
+                one, two = ([get(f"{x}{c}") for c in PACKED] for x in ("x_", ""))
                 yield pa.RecordBatch.from_pydict(dict(zip("ab", block_links(one, two, percent), strict=True)))
 
     return links.union(cut(met.mapInArrow(run, "a bigint, b bigint")))
 
 
+PACKED = ("ids", "labels", "sizes", "ends", "items")
+
+
 def packed(docs: DataFrame, by: str) -> DataFrame:
-    """One row per crowd and block, of about BLOCK documents: ids, labels, ends of the sets, and the sets behind each other."""
+    """One row per crowd and block, of about BLOCK documents: ids, labels, sizes of the full sets, and the shared values of
+    each behind each other, with their ends."""
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         sets = t["items"].chunk(0)
         ends = np.cumsum(pa.compute.list_value_length(sets).to_numpy()).astype(np.int64)
         longs = pa.list_(pa.int64())
-        cols = [t["id"].to_numpy(), t["label"].to_numpy(), ends, sets.flatten().to_numpy()]
-        return pa.table({"crowd": t["crowd"][:1], by: t[by][:1], **{n: pa.array([c], longs) for n, c in zip(("ids", "labels", "ends", "items"), cols, strict=True)}})
+        cols = [t["id"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy(), ends, sets.flatten().to_numpy()]
+        return pa.table({"crowd": t["crowd"][:1], by: t[by][:1], **{n: pa.array([c], longs) for n, c in zip(PACKED, cols, strict=True)}})
 
-    longs = ", ".join(f"{n} array<bigint>" for n in ("ids", "labels", "ends", "items"))
+    longs = ", ".join(f"{n} array<bigint>" for n in PACKED)
     return docs.groupBy("crowd", by).applyInArrow(pack, f"crowd bigint, {by} bigint, {longs}")
 
 
 def block_links(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b): links between two blocks across components, a spanning forest of the components that they connect."""
-    (ids, labels, ends, items), (ids2, labels2, ends2, items2) = one, two
+    (ids, labels, sizes, ends, items), (ids2, labels2, sizes2, ends2, items2) = one, two
     values = np.intersect1d(items, items2)
-    sizes, sizes2 = np.diff(ends, prepend=0), np.diff(ends2, prepend=0)
     shared = np.zeros((len(ids), len(ids2)), np.float32)
     places = []
-    for own, size in ((items, sizes), (items2, sizes2)):
+    for own, size in ((items, np.diff(ends, prepend=0)), (items2, np.diff(ends2, prepend=0))):
         at = np.searchsorted(values, own)
         at[at == len(values)] = 0
         held = values[at] == own if len(values) else np.zeros(len(own), bool)

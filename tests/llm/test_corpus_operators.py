@@ -102,7 +102,7 @@ def test_components_in_parts(spark, monkeypatch):
 
 def test_block_links():
     sets = [np.array(x, np.int64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [7, 8], [7, 8])]
-    block = [np.arange(4), np.array([0, 1, 2, 3]), np.cumsum([len(s) for s in sets]), np.concatenate(sets)]
+    block = [np.arange(4), np.array([0, 1, 2, 3]), np.array([len(s) for s in sets]), np.cumsum([len(s) for s in sets]), np.concatenate(sets)]
     a, b = minhash_dedup.block_links(block, block, 80)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) <= {(2, 3), (3, 2)} and len(a) == 1
 
