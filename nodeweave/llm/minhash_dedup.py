@@ -320,13 +320,18 @@ def picked(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group the row with the smallest id stays, once."""
-    kept = near_duplicates(docs, doc_id=doc_id, text=text, **how).filter("kept").select(F.col("doc_id").alias("__nw_id"), F.col("text_hash").alias("__nw_hash")).distinct()
-    hashed = docs.withColumn("__nw_hash", F.xxhash64(text))
-    same = hashed[doc_id].cast("bigint").eqNullSafe(kept["__nw_id"]) & (hashed["__nw_hash"] == kept["__nw_hash"])
-    left = hashed.join(kept, same, "left_semi")
-    # Rows without an id are told apart by their text alone.
-    return left.dropDuplicates([doc_id, "__nw_hash"]).drop("__nw_hash")
+    """The rows of `docs` without near-duplicates: of each group the row with the smallest id stays, once.
+
+    Rows without an id are told apart by their text alone.
+    """
+    key, text_hash = "__nw_key", "__nw_hash"
+    kept = near_duplicates(docs, doc_id=doc_id, text=text, **how).filter("kept")
+    kept = cut(kept.groupBy(F.coalesce("doc_id", F.lit(-NO_ID)).alias(key), F.col("text_hash").alias(text_hash)).agg(F.count(F.lit(1)).alias("rows")))
+    marked = docs.withColumns({key: F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-NO_ID)), text_hash: F.xxhash64(text)})
+    left = picked(marked, kept.select(key, text_hash), [key, text_hash])
+    if not kept.filter("rows > 1").isEmpty():  # repeated rows
+        left = left.dropDuplicates([key, text_hash])
+    return left.drop(key, text_hash)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
