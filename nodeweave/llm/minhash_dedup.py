@@ -42,7 +42,7 @@ SKETCH, MISS = 48, 1e-6
 SMALL, BLOCK = 24, 1024
 NO_ID = 1 << 62
 #: Up to so many pairs of longs are broadcast to pick texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
