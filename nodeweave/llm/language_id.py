@@ -29,6 +29,8 @@ BITS, WINDOW = 15, 1 << 20
 PER_LANGUAGE, MAX_LANGUAGES = 600, 64
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 0.02, 0.01, 3
 _LETTER = re.compile(r"[^\W\d_]")
+#: The same for Java, where no text with a letter may be missed.
+LETTERS = r"[\p{L}\p{N}&&[^\p{Nd}]]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Other ASCII characters than letters count as a space.
 _CLASS = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint64)
@@ -157,11 +159,8 @@ def fit(
 
     top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     languages = sorted(top)
-    # Hashes low enough for a few times the sample; the rest need not be ranked.
-    low = {x: -(1 << 63) + min((1 << 64) - 1, (4 * per_language << 64) // n) for x, n in top.items()}
-    hashed = rows.filter(F.col("lang").isin(languages)).withColumn("hash", F.xxhash64("lang", "text"))
-    if low:
-        hashed = hashed.filter(F.col("hash") <= F.create_map(*(F.lit(v) for pair in low.items() for v in pair))[F.col("lang")])
+    # Copies share a hash, so distinct texts are counted, and ones without a letter take no place. The ranks are bounded in each partition before one language meets in a task.
+    hashed = rows.filter(F.col("lang").isin(languages) & F.col("text").rlike(LETTERS)).withColumn("hash", F.xxhash64("lang", "text"))
     ranked = hashed.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("rank") <= per_language)
     # per_language * max_languages rows of 16 bytes at most
     chosen = hashed.join(F.broadcast(ranked.drop("rank")), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text"))

@@ -192,6 +192,16 @@ def test_language_without_labels(spark):
     assert language_id.identify(df, language_id.fit(df)).collect()[0].lang_pred == "und"
 
 
+def test_language_sample_counts_texts_not_copies(spark):
+    rows = [(i, "one and the same text", "en") for i in range(3000)] + [(i, f"{i}", "de") for i in range(3000)] + [(9000 + i, f"der die das {'abcdefghijkl'[i]}", "de") for i in range(12)]
+    seen = []
+    train = language_id.train
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_id, "train", lambda rows, languages, *a: seen.extend(languages[y] for *_, y in rows) or train(rows, languages, *a))
+        model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5)
+    assert model.languages == ["de", "en"] and (seen.count("de"), seen.count("en")) == (5, 1)
+
+
 def test_windows_of_long_texts(monkeypatch):
     text = "Größe und ñandú, " * 50
     whole = language_id.counts(text)
