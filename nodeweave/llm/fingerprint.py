@@ -3,11 +3,12 @@
 A text is a sequence of units, runs of up to UNIT characters without white space. A k-mer of units is a closed syncmer if
 the least of its inner s-mers, by hash, is its first or its last. Whether it is depends on nothing outside the k-mer, so
 an edit changes only the anchors that it touches, and equal passages have the same anchors wherever they stand. The
-fingerprint is the ANCHORS syncmers of the least hash, in the order in which they first occur in the text, each as eight
-hex digits: a sketch of bounded size whose order lets anchors be matched by position.
+fingerprint is all closed syncmers in the order of the text, each as eight hex digits, and beside it the number of the
+first unit of each; its size follows that of the text.
 
-The likeness of two fingerprints is the Dice coefficient of the anchor sets, estimated on the least ANCHORS of their
-union. Null text is empty text, with an empty fingerprint. A text with fewer units than a k-mer, or without a syncmer, has
+The likeness of two fingerprints matches by position: two anchors in a row agree with two in a row of the other text if
+the hashes and the distance are the same, wherever they stand. It is the Dice coefficient of these links, counted as often
+as they occur. Null text is empty text, with an empty fingerprint. A text with fewer units than a k-mer, or without a syncmer, has
 one anchor: its own hash. Two empty fingerprints are alike (1), an empty and another are not (0).
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 
 from nodeweave.llm.common import cut, prepare, table
 
-UNIT, K, S, ANCHORS = 12, 4, 2, 64
+UNIT, K, S = 12, 4, 2
 LOW = (1 << 32) - 1
 #: Stands for a null id in joins; ids are larger.
 NO_ID = -(1 << 63)
@@ -30,10 +31,18 @@ def short(h: Column) -> Column:
     return F.shiftright(h, 32).cast("int")
 
 
-def with_anchors(df: DataFrame, text: str, out: str, *, unit: int = UNIT, k: int = K, s: int = S, anchors: int = ANCHORS) -> DataFrame:
-    """Add `out`, array<int>: the anchors of the text in the order of their first occurrence."""
+def units(unit: int) -> str:
+    """Pattern whose first group is each unit."""
+    return rf"(\S{{1,{unit}}})"
+
+
+def with_anchors(df: DataFrame, text: str, out: str, *, unit: int = UNIT, k: int = K, s: int = S, anchors: int | None = None) -> DataFrame:
+    """Add `out`, array<int>: the anchors of the text in its order; and `out`_at, array<int>: the first unit of each.
+
+    All of them, unless `anchors` bounds them to those of so many least hashes.
+    """
     u, m, at = f"{out}_u", f"{out}_m", f"{out}_at"
-    df = df.withColumn(u, F.transform(F.regexp_extract_all(text, F.lit(rf"(\S{{1,{unit}}})"), F.lit(1)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(u, F.transform(F.regexp_extract_all(text, F.lit(units(unit)), F.lit(1)), lambda x: F.xxhash64(x)))
     upto = lambda array, n: F.when(F.size(array) >= n, F.sequence(F.lit(0), F.size(array) - n)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(m, F.transform(upto(u, s), lambda i: F.xxhash64(*(F.get(u, i + j) for j in range(s)))))
     last = k - s
@@ -44,31 +53,52 @@ def with_anchors(df: DataFrame, text: str, out: str, *, unit: int = UNIT, k: int
 
     inner = range(0, last + 1, s)
     mer = lambda i: short(F.xxhash64(*(F.get(m, i + j) for j in inner), F.get(m, i + last)))
-    df = df.withColumn(at, F.transform(F.filter(upto(u, k), closed), mer))
-    one = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(short(F.xxhash64(text))))
-    df = df.withColumn(at, F.when(F.size(at) > 0, F.col(at)).otherwise(one))
-    chosen = F.slice(F.sort_array(F.array_distinct(at)), 1, anchors)
-    return df.withColumn(out, F.array_intersect(at, chosen)).drop(u, m, at)
+    df = df.withColumn(at, F.filter(upto(u, k), closed))
+    if anchors is not None:
+        chosen = F.slice(F.sort_array(F.array_distinct(F.transform(at, mer))), 1, anchors)
+        most = f"{out}_most"
+        df = df.withColumn(most, F.try_element_at(chosen, F.lit(-1))).withColumn(at, F.filter(at, lambda i: mer(i) <= F.col(most))).drop(most)
+    none = F.array().cast("array<int>")
+    one = lambda x: F.when(F.col(text) == "", none).otherwise(F.array(x))
+    df = df.withColumn(out, F.when(F.size(at) > 0, F.transform(at, mer)).otherwise(one(short(F.xxhash64(text)))))
+    return df.withColumn(at, F.when(F.size(at) > 0, F.col(at)).otherwise(one(F.lit(0)))).drop(u, m)
+
+
+def links(anchors: str, side: int) -> Column:
+    """Each anchor with the next and the units between them, hashed, with `side` as the lowest bit; of one anchor, itself."""
+    at = f"{anchors}_at"
+    put = lambda h: h.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side).cast("bigint"))
+    pair = lambda i: put(F.xxhash64(F.get(anchors, i), F.get(anchors, i + 1), F.get(at, i + 1) - F.get(at, i)))
+    return F.when(F.size(anchors) > 1, F.transform(F.sequence(F.lit(0), F.size(anchors) - 2), pair)).otherwise(F.transform(anchors, lambda x: put(F.xxhash64(x))))
 
 
 def as_text(anchors: str) -> Column:
     return F.concat_ws("", F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(LOW)))), 8, "0")))
 
 
-def likeness(a: str, b: str, anchors: int = ANCHORS) -> Column:
-    """Dice coefficient of two anchor arrays, by the least `anchors` of the union."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, anchors)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    share = 2.0 * both / (F.size(union) + both)
+def likeness(a: str, b: str) -> Column:
+    """Dice coefficient of the links of two anchor arrays, each link as often as it occurs."""
+    start = F.struct(F.lit(0).cast("bigint").alias("link"), F.lit(0).alias("left"), F.lit(0).alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # In order, the links of one hash stand together, those of `a` first.
+        link, of_b = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1).cast("bigint")) == 1
+        left = F.when(acc["link"] == link, acc["left"]).otherwise(F.lit(0))
+        hit = of_b & (left > 0)
+        return F.struct(link.alias("link"), F.when(hit, left - 1).when(of_b, left).otherwise(left + 1).alias("left"), F.when(hit, acc["hit"] + 1).otherwise(acc["hit"]).alias("hit"))
+
+    both = F.aggregate(F.sort_array(F.concat(links(a, 0), links(b, 1))), start, step, lambda acc: acc["hit"])
+    count = lambda x: F.greatest(F.size(x) - 1, F.lit(1))
+    share = 2.0 * both / (count(a) + count(b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fingerprint", **how) -> DataFrame:
-    """Add the fingerprint string of every row's text; other columns stay."""
+    """Add the fingerprint string of every row's text and, as `out`_at, the places of its anchors; other columns stay."""
     prepare(docs.sparkSession)
-    own = [c for c in docs.columns if c != out]
+    own = [c for c in docs.columns if c not in (out, f"{out}_at")]
     base = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("__nw_body"))
-    return with_anchors(base, "__nw_body", "__nw_anchors", **how).select(*own, as_text("__nw_anchors").alias(out))
+    return with_anchors(base, "__nw_body", "__nw_anchors", **how).select(*own, as_text("__nw_anchors").alias(out), F.col("__nw_anchors_at").alias(f"{out}_at"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -90,26 +120,28 @@ def successors(keys: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, the fingerprints of the text and of its edited form, and their likeness.
+    """Per row: doc_id, n_chars, edited_sha256, the fingerprints of the text and of its edited form with the places of
+    their anchors, and the likeness of the text to its edited form and to the next.
 
     Rows that share id and text have one and the same next document, the first other one.
     """
     prepare(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
     links = cut(successors(base.select("id", "hash", F.length("body").alias("n_chars")).distinct()))
-    # The texts with their anchors are dealt by (id, hash) once: as themselves, and as the next of another.
-    full = with_anchors(base, "body", "anchors")
+    # The texts are dealt by (id, hash) once: as themselves, and as the next of another. Anchors take more room than text, so they are found where the texts meet.
+    full = base
     one_by_one = Window.partitionBy("id", "hash").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = full.withColumn("copy", F.count(F.lit(1)).over(one_by_one)).filter("copy = 1")
     of_next = links.select(F.col("id").alias("p_id"), F.col("hash").alias("p_hash"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.col("next_id").alias("id"), F.col("next_hash").alias("hash"))
-    heads = heads.join(of_next, ["id", "hash"]).select(F.col("p_id").alias("id"), F.col("p_hash").alias("hash"), F.substring("body", F.lit(1), F.col("half")).alias("head"), F.col("anchors").alias("next_anchors"))
+    heads = heads.join(of_next, ["id", "hash"]).select(F.col("p_id").alias("id"), F.col("p_hash").alias("hash"), "half", F.col("body").alias("next_body"))
     both = full.join(links.select("id", "hash", "n_chars"), ["id", "hash"]).join(heads, ["id", "hash"])
     kept = F.substring("body", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
-    edited = both.select("id", "n_chars", "anchors", "next_anchors", F.concat(kept, "head").alias("edited"))
-    done = with_anchors(edited, "edited", "edited_anchors")
+    done = both.withColumn("edited", F.concat(kept, F.substring("next_body", F.lit(1), F.col("half"))))
+    for of, out in (("body", "anchors"), ("next_body", "next_anchors"), ("edited", "edited_anchors")):
+        done = with_anchors(done, of, out)
     return done.select(
         F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"),
-        likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"),
+        F.col("anchors_at").alias("fingerprint_at"), F.col("edited_anchors_at").alias("edited_fingerprint_at"), likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"),
     )
 
 

@@ -141,6 +141,23 @@ def test_anchors_are_context_free(spark):
     assert len(a & b) >= len(a) - 1 and len(a & c) < 0.1 * len(a)
 
 
+def test_passage_in_long_texts(spark):
+    r = random.Random(7)
+    words = [f"word{i}" for i in range(3000)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shared, parts = some(50), [some(400) for _ in range(4)]
+    texts = [some(6000) + " " + shared + " " + some(6000), some(900) + " " + shared + " " + some(9000), shared, " ".join(parts), " ".join(parts[::-1])]
+    df = fingerprint.with_anchors(spark.createDataFrame(list(enumerate(texts)), DOCS), "text", "x").orderBy("doc_id")
+    a, b, c, *_ = rows = df.collect()
+    assert len(set(c.x)) > 20 and set(c.x) <= set(a.x) & set(b.x)
+    assert all(len(x.x) == len(x.x_at) and list(x.x_at) == sorted(set(x.x_at)) for x in rows)
+    first, own = dict(zip(a.x, a.x_at)), dict(zip(c.x, c.x_at))
+    assert {first[h] - own[h] for h in own} == {6000}
+    y = df.select(F.col("doc_id").alias("d"), F.col("x").alias("y"), F.col("x_at").alias("y_at"))
+    of = lambda i, j: df.filter(f"doc_id = {i}").crossJoin(y.filter(f"d = {j}")).select(fingerprint.likeness("x", "y")).first()[0]
+    assert 0 < of(0, 1) < 0.05 and of(3, 4) > 0.95
+
+
 def test_fingerprint_is_native(spark, tables):
     for name in ("op6_document_fingerprint", "op9_license_scan"):
         plan = QUERIES[name](spark, tables(documents=([(1, "a b c"), (2, "mit license")], DOCS)) if name.startswith("op6") else "/root/testdata/sf0.001")._jdf.queryExecution().toString()
