@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text is a sequence of units, runs of up to UNIT characters without white space. A k-mer of units is a closed syncmer if
+A text is a sequence of units: runs of up to UNIT characters without white space, and of longer runs every window of UNIT
+characters, so that text without white space is rolled over by the character. A k-mer of units is a closed syncmer if
 the least of its inner s-mers, by hash, is its first or its last. Whether it is depends on nothing outside the k-mer, so
 an edit changes only the anchors that it touches, and equal passages have the same anchors wherever they stand. The
 fingerprint is all closed syncmers in the order of the text, each as eight hex digits, and beside it the number of the
@@ -32,8 +33,9 @@ def short(h: Column) -> Column:
 
 
 def units(unit: int) -> str:
-    """Pattern whose first group is each unit."""
-    return rf"(\S{{1,{unit}}})"
+    """Pattern whose first group is each unit: a whole run of up to `unit` characters, or each window of a longer one."""
+    run = rf"(?<!\S)\S{{1,{unit}}}+(?!\S)"
+    return rf"(?=({run}|\S{{{unit}}}))(?:{run}|\S)"
 
 
 def with_anchors(df: DataFrame, text: str, out: str, *, unit: int = UNIT, k: int = K, s: int = S, anchors: int | None = None) -> DataFrame:

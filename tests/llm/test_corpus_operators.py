@@ -158,6 +158,20 @@ def test_passage_in_long_texts(spark):
     assert 0 < of(0, 1) < 0.05 and of(3, 4) > 0.95
 
 
+def test_units_of_text_without_white_space(spark):
+    r = random.Random(8)
+    run = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    coded = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(3000))
+    faces = "".join(chr(r.randrange(0x1F600, 0x1F640)) for _ in range(900))
+    pairs = [(x, x[:10] + "x" + x[10:]) for x in (run, coded, faces)] + [(x, x[len(x) // 2 + 5 :] + x[: len(x) // 2 + 5]) for x in (run, coded, faces)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = fingerprint.with_anchors(fingerprint.with_anchors(df, "a", "x"), "b", "y")
+    assert all(x[0] > 0.95 for x in df.select(fingerprint.likeness("x", "y")).collect())
+    texts = ["ab cdefghijklmn, " + "k" * 12 + " " + "m" * 14 + "\n🙂" * 2, ""]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(F.regexp_extract_all("t", F.lit(fingerprint.units(12)), F.lit(1)).alias("u")).collect()
+    assert [x.u for x in got] == [["ab", "cdefghijklmn", "defghijklmn,", "k" * 12, *["m" * 12] * 3, "🙂", "🙂"], []]
+
+
 def test_fingerprint_is_native(spark, tables):
     for name in ("op6_document_fingerprint", "op9_license_scan"):
         plan = QUERIES[name](spark, tables(documents=([(1, "a b c"), (2, "mit license")], DOCS)) if name.startswith("op6") else "/root/testdata/sf0.001")._jdf.queryExecution().toString()
