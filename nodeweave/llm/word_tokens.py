@@ -1,7 +1,8 @@
 """Ids of a `tokenizers` file whose splitter never joins text across white space, with a cache of words.
 
 Normalisation and merges of such a tokenizer stay within white space, so a word's ids don't depend on its neighbours and
-can be kept. The cache is bounded: when full, it starts anew.
+can be kept. The cache is bounded: when full, it starts anew. Texts that hold an added token of the file are encoded
+whole, as the file says: such a token is found in the raw text, before anything is split or normalised.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_OTHER.pattern, *added]))
         self.kept = kept
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -45,7 +47,7 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if _OTHER.search(x) else _lower(x).split() for x in texts]
+        split = [None if self.whole.search(x) else _lower(x).split() for x in texts]
         if len(self.cache) > self.kept:
             self.cache.clear()
         cache = self.cache

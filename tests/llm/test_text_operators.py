@@ -19,7 +19,7 @@ from nodeweave.llm.word_tokens import WordTokens
 DOCS = "doc_id long, text string"
 #: Clashing names of columns that operators use inside.
 WIDE = "doc_id long, text string, ids string, id string, row int, length double, words string, spans int, hash string, n int, v string, a int, piece string"
-NASTY = ["", " ", "\n\n\n  a", "é" * 300, "a" * 5000, "x  y\t\tz \n", "İstanbul'ses it's I'LL", "\x1c\x1d a\x85b c", "中文字符 テスト 🙂🙂", "<|endoftext|> <|startoftext|>", "á é", " " * 2000, "Word, word. word! (word)", "0123456789 ½²³", "\x00\x01nul"]
+NASTY = ["", " ", "\n\n\n  a", "é" * 300, "a" * 5000, "x  y\t\tz \n", "İstanbul'ses it's I'LL", "\x1c\x1d a\x85b c", "中文字符 テスト 🙂🙂", "<|endoftext|> <|startoftext|>", "hello <|endoftext|> world<|startoftext|>\tit's<|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext <|endoftext|>|>", "á é", " " * 2000, "Word, word. word! (word)", "0123456789 ½²³", "\x00\x01nul"]
 
 
 def wide(rows):
@@ -79,15 +79,16 @@ def test_empty_table(spark, tables):
 def test_word_tokens():
     own = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(3)
-    alphabet = list("abAB'sStT.,!?  \n\t\x0b\x1c\x85\xa0éÉßİΣσK中の½५-_<|>\x00") + ["'ll", " <|endoftext|> ", "ﬁ", "́"]
+    alphabet = list("abAB'sStT.,!?  \n\t\x0b\x1c\x85\xa0éÉßİΣσK中の½५-_<|>\x00") + ["'ll", " <|endoftext|> ", "<|startoftext|>", "<|endoftext|>", "ﬁ", "́"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(3000)] + NASTY
-    want = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert plain.encode("hello <|endoftext|> world <|startoftext|>", add_special_tokens=False).ids == [3306, 49407, 1002, 49406]
+    want = plain.encode_batch(texts, add_special_tokens=False)
     assert all(a.tolist() == b.ids for a, b in zip(own.encode(texts), want, strict=True))
 
 
 def check_pieces(got, docs, length=2048):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for x in got:
         by_doc[x.doc_id].append(x)
