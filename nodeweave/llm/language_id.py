@@ -2,17 +2,19 @@
 
 Features: n-grams of 1 to 3 lower-cased characters, hashed into buckets, log counts times inverse document frequency,
 scaled to length 1. Document frequencies cover all training rows. The model is trained by follow-the-regularised-leader
-with an elastic-net penalty on a bounded sample (PER_LANGUAGE rows of each language, of the smallest hash), the rows of
-one language in MAX_LANGUAGES at most; a fifth of the sample is held back to set the temperature of the softmax.
-
-Prediction reads whole texts and nothing else. Null text and text without a letter give `und` with score 1; so does,
-with score 0, any text where nothing could be learned. Repeated rows are predicted one by one, and in training the
-same text of the same language counts once.
+with an elastic-net penalty on a bounded sample: of each language the PER_LANGUAGE distinct texts of the smallest hash,
+fewer where MOST_ROWS would be exceeded over all languages, but one at least. Every language is learned; so many that
+their weights go beyond MOST_WEIGHTS are an error. A fifth of the sample is held back to set the temperature.
+
+Prediction reads whole texts, in windows, and nothing else; a letter is a character of the Unicode categories L*. Null
+text, empty text and text without a letter give `und` with score 1; so does, with score 0, any text where nothing could be
+learned (no labelled row with a letter; an empty table). With a single language that one is given, with score 1. Of equal
+probabilities the language first in order wins. Repeated rows are predicted one by one, and in training the same text
+of the same language counts once. Other columns are left alone; of the names of the two that are added, the old go.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +28,18 @@ from pyspark.sql.window import Window
 from nodeweave.llm.common import prepare, release, table
 
 BITS, WINDOW = 15, 1 << 20
-PER_LANGUAGE, MAX_LANGUAGES = 600, 64
+#: Rows of one language, of all of them, and weights (buckets times languages) that are fitted.
+PER_LANGUAGE, MOST_ROWS, MOST_WEIGHTS = 600, 38_400, 1 << 25
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 0.02, 0.01, 3
-_LETTER = re.compile(r"[^\W\d_]")
-#: The same for Java, where no text with a letter may be missed.
-LETTERS = r"[\p{L}\p{N}&&[^\p{Nd}]]"
+#: Text that may hold a letter, for Java, which may not know the newest ones.
+LETTERS = r"[\p{L}\p{Cn}]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Other ASCII characters than letters count as a space.
 _CLASS = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint64)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return text is not None and any(map(str.isalpha, text))
 
 
 def counts(text: str, bits: int = BITS) -> np.ndarray:
@@ -92,7 +94,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], idf: np.ndarray, seed: int = 11) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], idf: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> Model:
     """Follow the regularised leader per coordinate; every fifth row only sets the temperature."""
     k, size = len(languages), len(idf)
     model = Model(languages, idf, np.zeros((size, k), np.float32), np.zeros(k))
@@ -105,10 +107,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
     def weights(zs, ns):
         return np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         for i in np.random.default_rng(seed + epoch).permutation(fit):
             at, x, y = rows[i]
-            at, x = np.append(at, size), np.append(x, 0.1)
+            at, x = np.append(at, size), np.append(x, 0.1).astype(np.float64)
             zs, ns = z[at], n[at]
             w = weights(zs, ns)
             p = softmax(x @ w)
@@ -131,7 +133,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
 
 
 def fit(
-    labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, bits: int = BITS,
+    labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, bits: int = BITS,
 ) -> Model:
     """Train on all rows with a language and a letter: frequencies over all of them, weights on the bounded sample."""
     prepare(labelled.sparkSession)
@@ -157,12 +159,15 @@ def fit(
     frequency[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + frequency)) + 1.0
 
-    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    languages = sorted(top)
+    # Languages are few; one more than the weights allow is enough to tell.
+    languages = sorted(r["lang"] for r in rows.filter(F.col("text").rlike(LETTERS)).select("lang").distinct().limit(MOST_WEIGHTS // size + 1).collect())
+    if len(languages) * size > MOST_WEIGHTS:
+        raise ValueError(f"more than {MOST_WEIGHTS // size} languages; take fewer bits")
+    most = max(1, min(per_language, most_rows // max(1, len(languages))))
     # Copies share a hash, so distinct texts are counted, and ones without a letter take no place. The ranks are bounded in each partition before one language meets in a task.
-    hashed = rows.filter(F.col("lang").isin(languages) & F.col("text").rlike(LETTERS)).withColumn("hash", F.xxhash64("lang", "text"))
-    ranked = hashed.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("rank") <= per_language)
-    # per_language * max_languages rows of 16 bytes at most
+    hashed = rows.filter(F.col("text").rlike(LETTERS)).withColumn("hash", F.xxhash64("lang", "text"))
+    ranked = hashed.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("rank") <= most)
+    # most_rows rows of a language and a hash at most
     chosen = hashed.join(F.broadcast(ranked.drop("rank")), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +178,20 @@ def fit(
     sample = chosen.mapInArrow(vectors, "lang string, hash bigint, at array<bigint>, x array<float>").toArrow().sort_by([("hash", "ascending"), ("lang", "ascending")])
     known = {x: i for i, x in enumerate(languages)}
     at, x, lang_ = sample["at"], sample["x"], sample["lang"].to_pylist()
-    vectors_ = [(np.asarray(at[i].values.to_numpy()), np.asarray(x[i].values.to_numpy(), np.float64), known[lang_[i]]) for i in range(sample.num_rows)]
+    vectors_ = [(at[i].values.to_numpy(), x[i].values.to_numpy(), known[lang_[i]]) for i in range(sample.num_rows)]
     seen = sorted({languages[y] for *_, y in vectors_})
     again = {known[x]: i for i, x in enumerate(seen)}
-    return train([(a, b, again[y]) for a, b, y in vectors_], seen, idf)
+    model = train([(a, b, again[y]) for a, b, y in vectors_], seen, idf)
+    del vectors_, sample, at, x, df, found
+    release()  # the driver lives on, too
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its calibrated probability to every row."""
     prepare(docs.sparkSession)
     plain = docs.select(*(c for c in docs.columns if c not in (lang_out, score_out)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits * max_languages weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WEIGHTS weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -205,10 +205,12 @@ def test_language(spark, tables):
     words = {"en": "the of and to in is that with this from have not they".split(), "de": "der die und das nicht eine mit sich auch werden über für".split(), "fr": "les des une dans pour est que avec sur ne vous été très".split()}
     docs = [(i, " ".join(r.choice(words[k]) for _ in range(r.randint(3, 60))), k if i % 9 else None, "s", 1) for i, k in ((i, ("en", "de", "fr")[i % 3]) for i in range(400))]
     docs += [(1000, None, "en", "s", 0), (1001, "123 !!", "de", "s", 0), (1002, "", None, None, None), (None, "the of and", None, None, None)]
+    signs = ["½ ²³ 12", "①", "Ⅷ", "٣ ७", "_", "☃ 🙂", " \n"]
+    docs += [(2000 + i, t, "fr", "s", 0) for i, t in enumerate(signs)]
     sf = tables(documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
     got = {x.doc_id: x for x in QUERIES["op8_language_id"](spark, sf).collect()}
     assert all(got[d].held_out == (crc32(str(d).encode()) % 4 == 2) for d in got if d is not None)
-    assert [got[d].lang_pred for d in (1000, 1001, 1002)] == ["und"] * 3
+    assert [got[d].lang_pred for d in (1000, 1001, 1002, *(2000 + i for i in range(len(signs))))] == ["und"] * (3 + len(signs))
     right = [got[i].lang_pred == ("en", "de", "fr")[i % 3] for i in range(400)]
     assert sum(right) / 400 > 0.97 and all(0 <= x.score <= 1 for x in got.values())
     # nothing but the text decides
@@ -233,6 +235,50 @@ def test_language_sample_counts_texts_not_copies(spark):
     assert model.languages == ["de", "en"] and (seen.count("de"), seen.count("en")) == (5, 1)
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(12)
+    words = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for _ in range(70)]
+    rows = [(i, " ".join(r.choice(words[i % 70]) for _ in range(12)), f"l{i % 70}") for i in range(70 * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, bits=12)
+    assert model.languages == sorted({x for *_, x in rows})
+    assert sum(x.lang == x.lang_pred for x in language_id.identify(df, model).collect()) > 0.9 * len(rows)
+    with pytest.raises(ValueError, match="bits"):
+        language_id.fit(df, bits=20)
+    assert len(language_id.fit(df, bits=12, most_rows=10).languages) == 70
+
+
+def test_training_is_ftrl():
+    """One pass against the update rule written out by coordinate."""
+    r, k, size = random.Random(13), 3, 8
+    idf = np.ones(size)
+    rows = [(np.array(sorted(r.sample(range(size), 3))), np.array([r.random() for _ in range(3)]), r.randrange(k)) for _ in range(40)]
+    order = np.random.default_rng(11).permutation(len(rows))[len(rows) // 5 :]
+    z, n = ([[0.0] * k for _ in range(size + 1)] for _ in range(2))
+
+    def weight(i, c):
+        if abs(z[i][c]) <= language_id.L1:
+            return 0.0
+        sign = 1 if z[i][c] > 0 else -1
+        return -(z[i][c] - sign * language_id.L1) / ((language_id.BETA + n[i][c] ** 0.5) / language_id.ALPHA + language_id.L2)
+
+    for row in np.random.default_rng(11).permutation(order):
+        at, x, y = rows[row]
+        pairs = [*zip(at.tolist(), x.tolist(), strict=True), (size, 0.1)]
+        w = {(i, c): weight(i, c) for i, _ in pairs for c in range(k)}
+        e = [np.exp(sum(v * w[i, c] for i, v in pairs)) for c in range(k)]
+        for c in range(k):
+            error = e[c] / sum(e) - (c == y)
+            for i, v in pairs:
+                g = v * error
+                sigma = ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / language_id.ALPHA
+                z[i][c] += g - sigma * w[i, c]
+                n[i][c] += g * g
+    model = language_id.train(rows, ["a", "b", "c"], idf, epochs=1)
+    assert np.allclose(model.weights, [[weight(i, c) for c in range(k)] for i in range(size)], atol=1e-6)
+    assert np.allclose(model.bias, [0.1 * weight(size, c) for c in range(k)])
+
+
 def test_windows_of_long_texts(monkeypatch):
     text = "Größe und ñandú, " * 50
     whole = language_id.counts(text)
