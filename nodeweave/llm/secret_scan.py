@@ -1,11 +1,15 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two first-order models over the characters of a candidate (one of random keys, one of ordinary identifiers) are trained
-from labelled samples; a candidate is a secret when its log-likelihood ratio is high enough. Spans of the fixed patterns
-always stay; the models add spans of kind `random` where no fixed pattern has matched.
-
-Whole texts are scanned, one row at a time, without any shuffle. Null text is empty text: no spans. Repeated rows are
-scanned one by one, and other columns are left alone.
+Two first-order models over characters (one of random keys, one of ordinary identifiers) are trained from labelled
+samples. Runs of key characters of any length are parted into their maximal segments by log-likelihood ratio, in one
+pass, so a key behind an ordinary path is found on its own; a segment is widened to whole words of letters and digits. It
+is a secret if it has LEAST_LENGTH characters, LEAST_DISTINCT different ones, a letter, and a ratio of LEAST_TOTAL nats
+in all, or LEAST_BARE without a digit. Spans of the fixed patterns always stay; the models add spans of kind `random`
+that meet none of these.
+
+Whole texts are scanned, one row at a time, without any shuffle, in time and memory linear in the text. Null and empty
+text have no spans. Repeated rows are scanned one by one; spans of one start come in the order of the kinds. Other
+columns are left alone, and an old column named as the result goes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ BASE_KINDS, MODEL_KIND = ("assign", "access", "hex"), "random"
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Nats that a candidate must gain in all, and for each character.
-LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
+#: Nats that a segment must gain in all, with a digit and without one.
+LEAST_TOTAL, LEAST_BARE = 12.0, 20.0
+#: Characters of a segment, and different ones.
+LEAST_LENGTH, LEAST_DISTINCT = 16, 8
 
 #: Parts of ordinary identifiers.
 WORDS = """account action active address admin agent alert array async audit auth average backup balance base batch binary
@@ -83,6 +89,7 @@ def labelled_samples(seed: int = 7, n: int = 4000) -> list[tuple[str, bool]]:
         if r.random() < 0.05:
             text = r.choice("-=_") * r.randint(10, 40) if r.random() < 0.5 else f"20{r.randint(10, 29)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}-{text}"
         out.append((text, False))
+    out += [(c * r.randint(16, 40), False) for c in ALPHABET for _ in range(4)]
     return out
 
 
@@ -102,19 +109,61 @@ class MarkovRatio:
         logs = {k: [[math.log(x / sum(row)) for x in row] for row in rows] for k, rows in counts.items()}
         self.ratio = [[a - b for a, b in zip(x, y, strict=True)] for x, y in zip(logs[True], logs[False], strict=True)]
 
-    def score(self, text: str) -> float:
-        total, last = 0.0, len(self.at)
+    def steps(self, text: str) -> Iterator[float]:
+        """The ratio of each character behind the one before; others than the models know count nothing and start anew."""
+        first = last = len(self.at)
         for c in text:
-            i = self.at[c]
-            total += self.ratio[last][i]
+            i = self.at.get(c, first)
+            yield 0.0 if i == first else self.ratio[last][i]
             last = i
-        return total
 
-    def is_secret(self, text: str) -> bool:
-        """Two kinds of lower case, upper case and digits at least, one of them digits; and a high ratio."""
-        if not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
-            return False
-        return (score := self.score(text)) >= LEAST_TOTAL and score >= LEAST_MEAN * len(text)
+    def score(self, text: str) -> float:
+        return sum(self.steps(text))
+
+    def segments(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, ratio) of the maximal segments of `text`, disjoint and in order; linear in its length."""
+        kept: list[tuple[float, float, int, int, int]] = []  # sum before, sum behind, start, end, the last one before it with a lower sum
+        total = 0.0
+        for i, step in enumerate(self.steps(text)):
+            before, total = total, total + step
+            if step <= 0:
+                continue
+            low, start, back = before, i, len(kept) - 1
+            while True:
+                while back >= 0 and kept[back][0] >= low:
+                    back = kept[back][4]
+                if back < 0 or kept[back][1] >= total:
+                    break
+                low, _, start, _, behind = kept[back]
+                del kept[back:]
+                back = behind
+            kept.append((low, total, start, i + 1, back))
+        return [(a, b, high - low) for low, high, a, b, _ in kept]
+
+    def secrets(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the secrets in a run of key characters: segments that meet one word are taken as one."""
+        wide: list[tuple[int, int, float]] = []
+        for a, b, ratio in self.segments(text):
+            if ratio < LEAST_TOTAL:
+                continue
+            edge = wide[-1][1] if wide else 0
+            if a >= edge:
+                while a > edge and text[a - 1].isalnum():
+                    a -= 1
+            else:
+                a, _, held = wide.pop()
+                ratio = max(ratio, held)
+            b = max(b, edge)
+            while b < len(text) and b > edge and text[b].isalnum():
+                b += 1
+            wide.append((a, b, ratio))
+        out = []
+        for a, b, ratio in wide:
+            own = set(text[a:b])
+            enough = LEAST_TOTAL if any(map(str.isdigit, own)) else LEAST_BARE
+            if b - a >= LEAST_LENGTH and len(own) >= LEAST_DISTINCT and any(map(str.isalpha, own)) and ratio >= enough:
+                out.append((a, b))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -131,10 +180,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def model_spans(text: str, base: list[tuple[int, int, int]], model: MarkovRatio) -> list[tuple[int, int, int]]:
-    out = []
+    """Secrets that meet no span of `base`, which is in order; both lists are gone through once."""
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and model.is_secret(m[0]):
-            out.append((m.start(), len(BASE_KINDS), m.end()))
+        for a, b in model.secrets(m[0]):
+            a, b = a + m.start(), b + m.start()
+            while at < len(base) and base[at][0] < b:
+                reach = max(reach, base[at][2])
+                at += 1
+            if reach <= a:
+                out.append((a, len(BASE_KINDS), b))
     return out
 
 

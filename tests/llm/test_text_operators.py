@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 import string
+import sysconfig
+import time
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -215,10 +218,57 @@ def test_secret_query(spark, tables):
 def test_models_tell_random_from_ordinary():
     fresh = secret_scan.labelled_samples(seed=99, n=1000)
     model = secret_scan.trained()
-    found = [(model.is_secret(x), label) for x, label in fresh]
+    found = [(bool(model.secrets(x)), label) for x, label in fresh]
     assert sum(a for a, b in found if b) / 1000 > 0.95 and sum(a for a, b in found if not b) == 0
 
 
+def test_models_on_strings_of_other_kinds():
+    model, r = secret_scan.trained(), random.Random(6)
+    kinds = {"letters": string.ascii_letters, "lower": string.ascii_lowercase, "upper hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "letters and digits": string.ascii_letters + string.digits}
+    for name, alphabet in kinds.items():
+        assert sum(bool(model.secrets("".join(r.choices(alphabet, k=32)))) for _ in range(400)) / 400 > 0.95, name
+    written = set()
+    for package in ("email", "asyncio", "http", "json", "logging", "unittest", "xml", "concurrent", "importlib"):
+        for path in Path(sysconfig.get_paths()["stdlib"], package).rglob("*.py"):
+            written.update(secret_scan.CANDIDATE.findall(path.read_text(encoding="utf-8")))
+    assert len(written) > 500 and sum(bool(model.secrets(x)) for x in written) / len(written) < 0.03
+    assert model.score("a key, süß") == model.score("a") + model.score("key") + model.score("s")
+
+
+def brute_segments(steps):
+    """The maximal segments by their definition: the best one, then those to its left and to its right."""
+    best = (0.0, 0, 0)
+    for a in range(len(steps)):
+        for b in range(a + 1, len(steps) + 1):
+            if (t := sum(steps[a:b])) > best[0] + 1e-9:
+                best = (t, a, b)
+    t, a, b = best
+    return [] if t <= 0 else [*brute_segments(steps[:a]), (a, b), *((x + b, y + b) for x, y in brute_segments(steps[b:]))]
+
+
+def test_maximal_segments(monkeypatch):
+    r, model = random.Random(7), secret_scan.trained()
+    for _ in range(300):
+        steps = [r.choice([-3.0, -2.0, -1.5, -1.0, 1.0, 1.25, 2.0, 3.5]) + r.random() / 100 for _ in range(r.randint(0, 18))]
+        monkeypatch.setattr(secret_scan.MarkovRatio, "steps", lambda self, text, steps=steps: iter(steps))
+        assert [(a, b) for a, b, _ in model.segments("")] == brute_segments(steps)
+
+
+def test_keys_inside_runs_and_long_texts():
+    model, r = secret_scan.trained(), random.Random(8)
+    key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(32))
+    run = f"path/to/service/{key}/a_long_identifier_of_the_payment_settings"
+    ((a, b),) = model.secrets(run)
+    assert a == 16 and 48 <= b < 52  # a letter or two behind a separator may look as random
+    near = f"secret = abcdefgh1234 {run} token:{key}"
+    base = secret_scan.base_spans(near)
+    assert [near[a : a + 32] for a, _, _ in secret_scan.model_spans(near, base, model)] == [key]
+    for text in (f"token=abcdefgh1 {key} " * 30_000, ("the_value_of_" + "x9Q") * 60_000, ("thevalueof" + "x9QzT7") * 60_000, key * 30_000, "a" * 1_000_000):
+        base, began = secret_scan.base_spans(text), time.process_time()
+        secret_scan.model_spans(text, base, model)
+        assert time.process_time() - began < 20
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "x token = abcdefgh1 y", 21, "keep"), (2, None, 0, None), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, other string")
     assert [tuple(r) for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [(1, "x [SECRET] y", 12, "keep"), (2, None, None, None), (3, "clean", 5, "k")]
