@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from nodeweave.llm.common import prepare, release, table
+from nodeweave.llm.common import cut, prepare, release, table
 
 BITS, WINDOW = 15, 1 << 20
 #: Rows of one language, of all of them, and weights (buckets times languages) that are fitted.
@@ -159,16 +159,21 @@ def fit(
     frequency[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + frequency)) + 1.0
 
+    # Copies share a hash, so distinct texts are counted, and ones without a letter take no place. Steps of the hash, each
+    # 1/16 of a power of two, are counted first, at most 1024 a language; the texts up to the step that fills the sample are
+    # then few more than asked for, so no task has to rank the texts of a language.
+    step = F.floor(F.log2(F.shiftrightunsigned("hash", 1).cast("double") + 1) * 16)
+    hashed = rows.filter(F.col("text").rlike(LETTERS)).withColumn("hash", F.xxhash64("lang", "text"))
+    steps = cut(hashed.select("lang", "hash", step.alias("step")).groupBy("lang", "step").agg(F.count_distinct("hash").alias("n")))
     # Languages are few; one more than the weights allow is enough to tell.
-    languages = sorted(r["lang"] for r in rows.filter(F.col("text").rlike(LETTERS)).select("lang").distinct().limit(MOST_WEIGHTS // size + 1).collect())
+    languages = sorted(r["lang"] for r in steps.select("lang").distinct().limit(MOST_WEIGHTS // size + 1).collect())
     if len(languages) * size > MOST_WEIGHTS:
         raise ValueError(f"more than {MOST_WEIGHTS // size} languages; take fewer bits")
     most = max(1, min(per_language, most_rows // max(1, len(languages))))
-    # Copies share a hash, so distinct texts are counted, and ones without a letter take no place. The ranks are bounded in each partition before one language meets in a task.
-    hashed = rows.filter(F.col("text").rlike(LETTERS)).withColumn("hash", F.xxhash64("lang", "text"))
-    ranked = hashed.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("rank") <= most)
-    # most_rows rows of a language and a hash at most
-    chosen = hashed.join(F.broadcast(ranked.drop("rank")), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
+    upto = steps.withColumn("before", before).filter(F.col("before") < most).groupBy("lang").agg(F.max("step").alias("upto"))
+    few = hashed.join(F.broadcast(upto), "lang").filter(step <= F.col("upto")).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 1), "hash"))).filter(F.col("rank") <= most)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

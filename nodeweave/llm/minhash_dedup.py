@@ -17,8 +17,10 @@
 6. Connected components of the verified links.
 
 Null text, or text without a word, has the empty set, and is linked with nothing. With fewer words than a shingle has,
-the whole sequence is the one shingle. Rows with null id are linked like others; an id below 2**62 is assumed, and their
-component is null unless it holds a row with an id. Repeated rows are documents of the same class.
+the whole sequence is the one shingle. Rows with null id are linked like others, and their component is null unless it
+holds a row with an id; an id of 2**62 or more is an error. Repeated rows are documents of the same class. A text of any
+length is one row of its task; its set is there only while its sketch is made or a pair of it is verified. Other columns
+of the table, of whatever name, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,13 +124,18 @@ def similar_size(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def numbered(doc_id: Column, text: Column) -> Column:
+    """The id; for a null one a number above all ids, by the text, so that it is the same at every reading."""
+    unnamed = F.xxhash64(F.lit("without an id"), text).bitwiseAND(F.lit(NO_ID - 1)) + NO_ID
+    return F.when(doc_id.isNull(), unnamed).when(doc_id < NO_ID, doc_id).otherwise(F.raise_error(F.lit("ids must be below 2**62")).cast("bigint"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """One row per row of `docs`: doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept."""
     spark = docs.sparkSession
     prepare(spark)
     least = least_shared(k, percent)
-    # Null ids get numbers above all ids; the scan's partitions, and so these numbers, are the same at every reading.
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.monotonically_increasing_id() + NO_ID).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    rows = docs.select(numbered(F.col(doc_id).cast("bigint"), F.col(text)).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     folder = new_folder(spark, "sketches")
     sketches(rows, width, k).write.parquet(folder)
     every = spark.read.parquet(folder)
@@ -141,7 +148,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     need = F.when(partner_may_be_cut, F.least(F.expr(whole), F.lit(least))).otherwise(F.expr(whole))
     lists = rarest(classes.select("id", "n", F.col("sketch").alias("items")), need)
 
-    hubs = lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("weight", "id")).alias("hub"))
+    # The hubs are written first: with a shuffle on either side of the join, the lists of hot values are split among tasks.
+    hubs = cut(lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("weight", "id")).alias("hub")))
     # The hub comes first: its set is joined to its many pairs while these are short, which then part by their other ends.
     pairs = lists.join(hubs, "v").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), "n", F.col("hub.n").alias("m"))
     pairs = cut(pairs.filter((F.col("a") != F.col("b")) & similar_size("n", "m", percent)).select("a", "b").distinct())
@@ -314,7 +322,6 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 
 def picked(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """The rows of `df` whose key is in `wanted`: by broadcast up to BROADCAST_IDS keys, else by a shuffle."""
-    wanted = cut(wanted)
     small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(wanted) if small else wanted, on, "left_semi")
 
