@@ -1,7 +1,10 @@
 """A corpus pipeline over `documents`: language, near-duplicates, secrets, packing.
 
 Each stage is one operator of nodeweave.llm; what it returns is written as Parquet and read again by the next. All
-stages but the last keep the columns of documents.
+stages but the last keep the columns of documents, and any others of whatever name.
+
+Null, empty and letterless texts go in the first stage. Rows with null id are told apart by their text; of repeated rows
+one stays. Texts of any length are handled whole. An empty table stays empty to the end.
 """
 
 from __future__ import annotations
@@ -19,10 +22,15 @@ LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no letter or no likely language; the model learns from these documents' own labels."""
+    """Drops what has no letter or no likely language; the model learns from these documents' own labels.
+
+    Where there is nothing to learn from, every document with a letter stays.
+    """
     model = language_id.fit(docs.filter(~language_id.held_out()))
     found = language_id.identify(docs, model, lang_out="__nw_lang", score_out="__nw_score")
-    return found.filter((F.col("__nw_lang") != "und") & (F.col("__nw_score") >= LEAST_SCORE)).select(*docs.columns)
+    likely = (F.col("__nw_lang") != "und") & (F.col("__nw_score") >= LEAST_SCORE)
+    unlearned = (F.col("__nw_lang") == "und") & (F.col("__nw_score") == 0)
+    return found.filter(likely | unlearned).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
