@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from nodeweave.llm.common import cut, prepare, release, table
+from nodeweave.llm.common import cut, prepare, release, table, tidy
 
 BITS, WINDOW = 15, 1 << 20
 #: Rows of one language, of all of them, and weights (buckets times languages) that are fitted.
@@ -188,7 +188,7 @@ def fit(
     again = {known[x]: i for i, x in enumerate(seen)}
     model = train([(a, b, again[y]) for a, b, y in vectors_], seen, idf)
     del vectors_, sample, at, x, df, found
-    release()  # the driver lives on, too
+    tidy(labelled.sparkSession)
     return model
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeweave.llm.common import cut, new_folder, prepare, release, table
+from nodeweave.llm.common import cut, new_folder, prepare, release, stored, table, tidy
 from nodeweave.llm.components import components
 
 SKETCH, MISS = 48, 1e-6
@@ -148,24 +148,28 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     need = F.when(partner_may_be_cut, F.least(F.expr(whole), F.lit(least))).otherwise(F.expr(whole))
     lists = rarest(classes.select("id", "n", F.col("sketch").alias("items")), need)
 
-    # The hubs are written first: with a shuffle on either side of the join, the lists of hot values are split among tasks.
-    hubs = cut(lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("weight", "id")).alias("hub")))
+    # The hubs are stored first: they are broadcast if small, or else Spark splits the lists of hot values among tasks, which
+    # it can do only where both sides of a join are shuffled.
+    hubs = stored(lists.groupBy("v").agg(F.max_by(F.struct("id", "n"), F.struct("weight", "id")).alias("hub")), "hubs")
     # The hub comes first: its set is joined to its many pairs while these are short, which then part by their other ends.
     pairs = lists.join(hubs, "v").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), "n", F.col("hub.n").alias("m"))
     pairs = cut(pairs.filter((F.col("a") != F.col("b")) & similar_size("n", "m", percent)).select("a", "b").distinct())
     links = check(pairs)
     labels = components(links)
+    tidy(spark)
 
     few, many = by_length(lists, labels)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = check(cut(across(few, percent).join(tested, ["a", "b"], "left_anti")))
     links = links.union(found)
     labels = components(links)
+    tidy(spark)
 
     crowded = cut(many.select("id").join(classes.select("id", "text_hash"), "id").distinct())
     if not crowded.isEmpty():
         links = links.union(within_crowd(rows, crowded, labels, width, percent, whole, check))
         labels = components(links)
+        tidy(spark)
 
     of_class = classes.select("n", "set1", "set2", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("n", "set1", "set2", F.coalesce("label", "id").alias("label"))
     joined = every.drop("sketch").join(of_class, ["n", "set1", "set2"], "left").withColumn("label", F.coalesce("label", "id"))
@@ -179,7 +183,7 @@ def rarest(sets: DataFrame, need: Column, folder: str | None = None) -> DataFram
     With `folder`, each set's values that others have too are written there, as by_df, by falling rarity.
     """
     entries = sets.select("id", "n", F.size("items").alias("size"), F.explode("items").alias("v"))
-    common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = stored(entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-values")  # see hubs
     ranked = entries.join(common, "v").groupBy("id", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum("df").alias("weight"))
     if folder is not None:
         ranked.write.parquet(folder)
@@ -197,7 +201,8 @@ def named(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def by_length(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lists that are still in several components, with labels: short ones, and long ones."""
     with_labels = named(lists, labels)
-    sizes = with_labels.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high").select("v", "members")
+    sizes = with_labels.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
+    sizes = stored(sizes.filter("low < high").select("v", "members"), "open-lists")  # see hubs
     open_lists = cut(with_labels.join(sizes, "v"))
     return open_lists.filter(F.col("members") <= SMALL), open_lists.filter(F.col("members") > SMALL)
 
