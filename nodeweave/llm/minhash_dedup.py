@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, items) of the rows whose (id, text_hash) is in `wanted`."""
+    """(id, items) of the rows whose (id, text_hash) is in `wanted`, repeated rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +117,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         word_hashes().clear()
         release()
 
-    return picked(docs, wanted, ["id", "text_hash"]).select("id", "text").mapInArrow(run, "id bigint, items array<bigint>")
+    # Repeated rows go while they are texts, which take less room than sets.
+    once = picked(docs, wanted, ["id", "text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
+    return stored(once.mapInArrow(run, "id bigint, items array<bigint>"), "sets")
 
 
 def similar_size(a: str, b: str, percent: int):
@@ -218,9 +220,7 @@ def across(lists: DataFrame, percent: int) -> DataFrame:
 def within_crowd(rows: DataFrame, crowded: DataFrame, labels: DataFrame, width: int, percent: int, whole: str, check) -> DataFrame:
     """Links (a, b) among the documents of long lists, across the components in `labels`."""
     spark = rows.sparkSession
-    folder = new_folder(spark, "crowded")
-    full_sets(rows, crowded, width).groupBy("id").agg(F.first("items").alias("items")).withColumn("n", F.size("items").cast("bigint")).write.parquet(folder)
-    sets = spark.read.parquet(folder)
+    sets = full_sets(rows, crowded, width).withColumn("n", F.size("items").cast("bigint"))
     shared = new_folder(spark, "shared")
     few, many = by_length(rarest(sets, F.expr(whole), shared), labels)
     links = check(cut(across(few, percent)))
@@ -319,7 +319,7 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     likely = F.when(exact, F.col("shared") * 100 >= F.size("u") * percent).otherwise(F.col("shared") >= least)
     left = cut(both.filter(likely).select("a", "b", "a_n", "b_n", "a_text_hash", "b_text_hash"))
     wanted = left.select(F.col("a").alias("id"), F.col("a_text_hash").alias("text_hash")).union(left.select("b", "b_text_hash")).distinct()
-    sets = full_sets(rows, wanted, width).groupBy("id").agg(F.first("items").alias("items"))
+    sets = full_sets(rows, wanted, width)  # stored, so that the pairs of a hub can be split, see hubs
     got = left.select("a", "b", "a_n", "b_n").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return cut(got.select("a", "b", "a_n", "b_n", shared.alias("shared")).filter(f"shared * 100 >= (a_n + b_n - shared) * {percent}").select("a", "b"))
