@@ -183,7 +183,7 @@ def test_fingerprint_is_native(spark, tables):
 
 def test_license_query(spark, tables):
     mit = license_scan.NOTICES["mit-text"]
-    texts = ["Released under the MIT License. mit-license MIT\nLICENSE", "mit licence", "GNU General Public License general public license", "Apache License apache LICENSE", None, "", "Kmit license maKe mit license", "éMIT license", mit, mit.replace("free of charge", "gratis and free of any charge"), " ".join(mit.split()[:12]), "word " * 2000 + "mit license", "MIT İLICENSE"]
+    texts = ["Released under the MIT License. mit-license MIT\nLICENSE", "mit licence", "GNU General Public License general public license", "Apache License apache LICENSE", None, "", "Kmit license maKe mit license", "éMIT license", mit, mit.replace("free of charge", "gratis and free of any charge"), " ".join(mit.split()[:12]), "word " * 2000 + "mit license", "MIT İLICENSE", "x " + license_scan.NOTICES["bsd-text"] + " CC BY-NC " + license_scan.NOTICES["lgpl-notice"][30:], "CC BY"]
     docs = [*enumerate(texts), (None, "mit license"), (0, texts[0])]
     got = QUERIES["op9_license_scan"](spark, tables(documents=(wide(docs), WIDE))).collect()
     want = []
@@ -193,8 +193,36 @@ def test_license_query(spark, tables):
         at = [i for i, _ in places]
         want.append((d, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in places}))))
     assert sorted([tuple(r)[:6] for r in got], key=repr) == sorted(want, key=repr)
+    brute = {r: brute_licenses(t or "") for r, t in enumerate(t for _, t in docs)}
+    assert sorted(((r.doc_id, r.labels, round(r.score, 9)) for r in got), key=repr) == sorted(((d, *brute[i]) for i, (d, _) in enumerate(docs)), key=repr)
     labels = {r.doc_id: r.labels.split(",") for r in got}
     assert "mit-text" in labels[8] and "mit-text" in labels[9] and labels[10] == [""]
+    assert {"bsd-text", "lgpl-notice", "cc-by-nc"} <= set(labels[13]) and labels[14] == ["cc-by"]
+
+
+def brute_licenses(text):
+    """Labels and best score: whole phrases, and notices by runs of diagonals of their verified k-grams."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    found = [(k, 1.0) for k, p in {**license_scan.PHRASES, **license_scan.NAMES}.items() if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))]
+    for label, notice in license_scan.NOTICES.items():
+        own, hits = license_scan.template_words(notice), {}
+        for t in range(len(own) - 4):
+            for i in range(len(words) - 4):
+                if words[i : i + 5] == own[t : t + 5]:
+                    hits.setdefault(i - t, set()).update(range(t, t + 5))
+        last, covered, best = None, set(), 0.0
+        for d in sorted(hits):
+            covered = covered | hits[d] if last is not None and d - last <= license_scan.GAP else set(hits[d])
+            last, best = d, max(best, len(covered) / len(own))
+        if best >= license_scan.COVER:
+            found.append((label, best))
+    return ",".join(sorted({k for k, _ in found})), round(max((s for _, s in found), default=0.0), 9)
+
+
+def test_many_licenses_in_one_text(spark):
+    text = "Released under the MIT License. " * 30_000 + license_scan.NOTICES["isc-text"] * 3
+    (row,) = license_scan.scan(spark.createDataFrame([(1, text)], DOCS)).collect()
+    assert sum(s.label == "mit" for s in row.found) == 30_000 and sum(s.label == "isc-text" and s.score == 1 for s in row.found) == 3
 
 
 # --- languages
