@@ -1,21 +1,24 @@
 """Exact top-k search by inner product in three phases with one uniform threshold.
 
-The dimensions are split into SEGMENTS lists, so a score is a sum of partial scores.
+The dimensions are split into SEGMENTS lists, so a score is a sum of partial scores, one from each list.
 
-1. Every block of vectors sends, for each query and list, its best entries by partial score, with their full scores. The
-   k-th best of these is a cutoff that the k-th best of all vectors can't be below.
+1. Every task looks through the first list alone, resolves for each query some entries that are best there, and sends
+   their best full scores. The k-th best of these is a cutoff that the k-th best of all vectors can't be below.
 2. The cutoffs go back with the queries. A vector at or above its query's cutoff has in some list a partial score of at
-   least cutoff / SEGMENTS; all entries that reach it are collected.
-3. Their scores are resolved exactly in the block that holds the vectors; those below the cutoff are gone, the rest are
-   ranked.
+   least cutoff / SEGMENTS; the entries that reach it in a list are collected. A list whose norms can't reach it in a block
+   is not looked through there.
+3. Of the collected entries, and of them alone, the missing partial scores are resolved, in the block that holds the
+   vectors; those below the cutoff are gone, and each task sends the k best that are left for each query.
 
-Vectors are first reduced to distinct ones, each with the smallest ids that a result can hold, so a vector that fills a
-third of the table costs no more than any other. Queries and vectors are dealt as blocks; each block of queries meets
-each block of vectors once, and tasks hold one of either.
+So the whole product of queries and vectors is made once, beside the first list's part of it in phase 1. Vectors are
+first reduced to distinct ones, each with the smallest ids that a result can hold, so a vector that fills a third of the
+table costs no more than any other. Blocks of vectors stay where they are; blocks of queries are broadcast in rounds of
+ROUND bytes, each written on its own.
 
 Rows with a null id or vector, or with null or non-finite components, take no part. Vectors meet only vectors of their
 own length. Repeated ids are candidates of their own. Components are quantised to integers; sums are exact while the
-products stay within 64 bits. Ties go to the smaller id. Empty tables and queries without candidates give no rows.
+products stay within 64 bits. Ties go to the smaller id. Empty tables and queries without candidates give no rows. Other
+columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nodeweave.llm.common import cut, prepare, table
+from nodeweave.llm.common import cut, new_folder, prepare, stored, table
 
 SEGMENTS, SCALE = 2, 256.0
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors and queries in a block, and bytes of the query blocks that are broadcast at once.
+BLOCK, QUERY_BLOCK, ROUND = 4096, 1024, 32 << 20
+#: Entries of the first list whose full scores phase 1 looks up, for each one that it sends.
+LEADERS = 12
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -63,73 +68,123 @@ def blocks(df: DataFrame, size: int, name: str, rows: int, cutoff: bool = False)
     return dealt.groupBy("dim", name).applyInArrow(pack, f"dim int, {name} bigint, ids array<bigint>, matrix binary" + (", cutoffs array<bigint>" if cutoff else ""))
 
 
-def partials(a: np.ndarray, b: np.ndarray, segments: int) -> list[np.ndarray]:
-    """Partial scores of all rows of a against all of b, by segment; in floating point where that is exact."""
-    dim = a.shape[1]
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(dim, 1)
-    kind = np.float64 if bound < 2**52 else np.int64
-    edges = np.linspace(0, dim, segments + 1).astype(int)
-    return [(a[:, i:j].astype(kind) @ b[:, i:j].astype(kind).T) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+class Lists:
+    """A block of queries against a block of vectors, list by list; in floating point where that is exact."""
+
+    def __init__(self, asks: np.ndarray, vectors: np.ndarray, segments: int):
+        dim = asks.shape[1]
+        bound = float(np.abs(asks).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(dim, 1)
+        kind = np.float64 if bound < 2**52 else np.int64
+        edges = np.linspace(0, dim, segments + 1).astype(int).tolist()
+        self.asks, self.vectors = ([np.ascontiguousarray(x[:, i:j]).astype(kind) for i, j in zip(edges[:-1], edges[1:], strict=True)] for x in (asks, vectors))
+
+    def partial(self, s: int) -> np.ndarray:
+        return self.asks[s] @ self.vectors[s].T
+
+    def resolved(self, s: int, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Partial scores of single entries (query, vector), some at a time."""
+        out = np.zeros(len(at[0]), self.asks[s].dtype)
+        for i in range(0, len(out), 65_536):
+            part = slice(i, i + 65_536)
+            out[part] = np.einsum("ij,ij->i", self.asks[s][at[0][part]], self.vectors[s][at[1][part]])
+        return out
+
+    def leaders(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phase 1: the entries that are best in the first list."""
+        p = self.partial(0)
+        n = min(LEADERS * most, p.shape[1])
+        best = np.argpartition(-p, n - 1, axis=1)[:, :n]
+        return np.repeat(np.arange(len(p)), n), best.ravel()
+
+    def scores(self, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return sum(self.resolved(s, at) for s in range(len(self.asks))).astype(np.int64)
+
+    def sufficient(self, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phases 2 and 3: (query, vector, score) of entries that reach their query's cutoff in some list, and in all."""
+        least = np.ceil(cutoff / len(self.asks))
+        rows, cols = [], []
+        for s, (a, v) in enumerate(zip(self.asks, self.vectors, strict=True)):
+            norms = np.sqrt((a.astype(np.float64) ** 2).sum(axis=1)) * np.sqrt((v.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)
+            if (norms * (1 + 1e-9) + 1e-9 < least).all():
+                continue
+            i, j = np.nonzero(self.partial(s) >= least[:, None])
+            rows.append(i)
+            cols.append(j)
+        if not rows:
+            return (np.zeros(0, np.int64),) * 3
+        width = len(self.vectors[0])
+        entries = np.unique(np.concatenate(rows) * width + np.concatenate(cols))
+        at = entries // width, entries % width
+        scores = self.scores(at)
+        keep = scores >= cutoff[at[0]]
+        return at[0][keep], at[1][keep], scores[keep]
+
+
+def first_of(asks: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` best entries of each query, ties by id."""
+    order = np.lexsort((ids, -scores, asks))
+    asks, ids, scores = asks[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.diff(asks, prepend=asks[:1] - 1)) if len(asks) else np.zeros(0, np.int64)
+    rank = np.arange(len(asks)) - np.repeat(starts, np.diff(np.append(starts, len(asks))))
+    return asks[rank < most], ids[rank < most], scores[rank < most]
+
+
+def met(stored_blocks: DataFrame, asks: DataFrame, count: int, size: int, segments: int, most: int, cutoff: bool) -> DataFrame:
+    """(qcid, cid, score): what phase 1, or with `cutoff` phases 2 and 3, leave of each task: `most` entries of a query at
+    most, however many blocks the task holds. One round after the other; `size` is the bytes of a block of queries."""
+    spark = asks.sparkSession
+    folder = new_folder(spark, "topk")
+    a_round = max(1, ROUND // max(size, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3
+        for b in batches:
+            for i in range(b.num_rows):
+                dim = b["dim"][i].as_py()
+                get = lambda name: np.frombuffer(b[name][i].as_buffer(), "<i8").reshape(-1, dim)  # noqa: B023, E731
+                qids, ids = b["qids"][i].values.to_numpy(), b["ids"][i].values.to_numpy()
+                lists = Lists(*((get("qmatrix"), get("matrix")) if dim else (np.zeros((len(qids), 1)), np.zeros((len(ids), 1)))), segments)
+                if cutoff:
+                    r, c, scores = lists.sufficient(b["cutoffs"][i].values.to_numpy())
+                else:
+                    r, c = at = lists.leaders(most)
+                    scores = lists.scores(at)
+                held = first_of(*(np.concatenate(x) for x in zip(held, (qids[r], ids[c], scores), strict=True)), most)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held], names=["qcid", "cid", "score"])
+
+    for low in range(0, max(count, 1), a_round):
+        part = asks.filter(F.col("qb").between(low, low + a_round - 1)).withColumnsRenamed({"ids": "qids", "matrix": "qmatrix"}).drop("qb")
+        pairs = stored_blocks.join(F.broadcast(part), "dim")
+        pairs.mapInArrow(run, "qcid bigint, cid bigint, score bigint").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def top_k(
     vectors: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", segments: int = SEGMENTS, block: int = BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row where `is_query` (over vec_id) holds."""
-    prepare(vectors.sparkSession)
+    spark = vectors.sparkSession
+    prepare(spark)
     most = k + 1  # one more than asked for, as a query is no candidate of its own
     rows = quantised(vectors, vec_id, embedding)
     firsts = ranked(rows, ["q"], [F.col("vec_id")], most)
-    classes = cut(firsts.groupBy("q").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("cid"), F.size("q").alias("dim"), "q", "ids"))
+    classes = stored(firsts.groupBy("q").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("cid"), F.size("q").alias("dim"), "q", "ids"), "vectors")
     queries = cut(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "q").join(classes.select("q", "cid", "dim"), "q").select("query_id", "cid", "dim"))
-    asked = cut(queries.select("cid", "dim").distinct().join(classes.select("cid", "dim", "q"), ["cid", "dim"]).dropDuplicates(["cid", "dim"]))
-    n, m = classes.count(), asked.count()
-    stored = cut(blocks(classes.select("dim", "cid", "q"), block, "vb", n))
-    last = -(-n // block) - 1 if n else 0
-
-    def meet(asks: DataFrame) -> DataFrame:
-        dealt = asks.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
-        return dealt.withColumnsRenamed({"ids": "qids", "matrix": "qmatrix"}).join(stored, ["dim", "vb"])
-
-    def arrays(b: pa.RecordBatch) -> Iterator[tuple]:
-        for i in range(b.num_rows):
-            dim = b["dim"][i].as_py()
-            get = lambda name: np.frombuffer(b[name][i].as_buffer(), "<i8").reshape(-1, dim) if dim else None  # noqa: B023, E731
-            qids, ids = b["qids"][i].values.to_numpy(), b["ids"][i].values.to_numpy()
-            parts = partials(get("qmatrix"), get("matrix"), segments) if dim else [np.zeros((len(qids), len(ids)))]
-            yield i, qids, ids, parts
-
-    def out(qids, ids, at, scores) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(qids[at[0]], pa.int64()), pa.array(ids[at[1]], pa.int64()), pa.array(scores.astype(np.int64), pa.int64())], names=["qcid", "cid", "score"])
-
-    def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, qids, ids, parts in arrays(b):
-                best = [np.argpartition(-p, min(most, len(ids)) - 1, axis=1)[:, :most] for p in parts]
-                cols = np.concatenate(best, axis=1)
-                at = np.repeat(np.arange(len(qids)), cols.shape[1]), cols.ravel()
-                yield out(qids, ids, at, sum(p[at] for p in parts))
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, qids, ids, parts in arrays(b):
-                cutoff = b["cutoffs"][i].values.to_numpy()
-                reach = np.zeros(parts[0].shape, bool)
-                for p in parts:
-                    reach |= p >= np.ceil(cutoff / len(parts))[:, None]
-                at = np.nonzero(reach)
-                scores = sum(p[at] for p in parts)
-                keep = scores >= cutoff[at[0]]
-                yield out(qids, ids, (at[0][keep], at[1][keep]), scores[keep])
-
-    schema = "qcid bigint, cid bigint, score bigint"
-    order = [F.desc("score"), F.col("cid")]
-    asks = cut(blocks(asked, query_block, "qb", m))
-    gathered = meet(asks.select("dim", "ids", "matrix")).mapInArrow(local_lists, schema).distinct()
-    least = ranked(gathered, ["qcid"], order, most).groupBy("qcid").agg(F.when(F.count(F.lit(1)) == most, F.min("score")).alias("cutoff"))
+    asked = stored(queries.select("cid", "dim").distinct().join(classes.select("cid", "dim", "q"), ["cid", "dim"]), "queries")
+    told = classes.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
+    n, m = told["n"], asked.count()
+    held = stored(blocks(classes.select("dim", "cid", "q"), block, "vb", n), "vector-blocks")
+    size, count = min(query_block, max(m, 1)) * 8 * (told["dim"] or 1), max(1, -(-m // query_block))
+
+    asks = stored(blocks(asked, query_block, "qb", m), "query-blocks")
+    gathered = met(held, asks, count, size, segments, most, cutoff=False)
+    # As many scores of a query as there are tasks, `most` of each.
+    order = F.sort_array(F.collect_list("score"), asc=False)
+    least = gathered.groupBy("qcid").agg(order.alias("scores")).select("qcid", F.get("scores", most - 1).alias("cutoff"))
     lowest = -(1 << 62)  # too few entries: everything is collected
     armed = asked.join(least.withColumnRenamed("qcid", "cid"), "cid", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(lowest)))
-    best = ranked(meet(blocks(armed, query_block, "qb", m, cutoff=True).select("dim", "ids", "matrix", "cutoffs")).mapInArrow(collect, schema), ["qcid"], order, most)
+    armed = stored(blocks(armed, query_block, "qb", m, cutoff=True), "cutoffs")
+    best = ranked(met(held, armed, count, size, segments, most, cutoff=True), ["qcid"], [F.desc("score"), F.col("cid")], most)
     named = best.select("qcid", "cid", "score").join(classes.select("cid", "ids"), "cid").select("qcid", "score", F.explode("ids").alias("vec_id"))
     short = ranked(named, ["qcid"], [F.desc("score"), F.col("vec_id")], most).select("qcid", "score", "vec_id")
     joined = queries.withColumnRenamed("cid", "qcid").join(short, "qcid").filter("vec_id <> query_id")

@@ -345,6 +345,28 @@ def test_topk_in_blocks(spark, k, segments, block):
     assert got == sorted(want)
 
 
+def test_phases_save_work():
+    r = np.random.default_rng(4)
+    q, v = np.floor(256 * r.normal(size=(30, 64))).astype(np.int64), np.floor(256 * r.normal(size=(4000, 64))).astype(np.int64)
+    lists, full = topk_search.Lists(q, v, 2), q @ v.T
+    at = lists.leaders(6)
+    cutoff = np.sort(lists.scores(at).reshape(30, -1), axis=1)[:, -6]
+    seen = []
+    lists.resolved = lambda s, at: seen.append(len(at[0])) or topk_search.Lists.resolved(lists, s, at)
+    rows, cols, scores = lists.sufficient(cutoff)
+    assert max(seen) < 0.15 * full.size and (scores == full[rows, cols]).all()
+    assert set(zip(rows.tolist(), cols.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(full >= cutoff[:, None])), strict=True))
+    lists.partial = lambda s: pytest.fail("a list that can't reach the cutoff was looked through")
+    assert not len(lists.sufficient(np.full(30, 1 << 60))[0])
+    asks, ids, best = topk_search.first_of(np.array([2, 1, 2, 2, 1]), np.array([5, 9, 4, 8, 3]), np.array([7, 1, 7, 9, 1]), 2)
+    assert (asks.tolist(), ids.tolist(), best.tolist()) == ([1, 1, 2, 2], [3, 9, 8, 4], [1, 1, 9, 7])
+
+
+def test_topk_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "ROUND", 1)
+    test_topk_in_blocks(spark, 3, 4, 16)
+
+
 def test_topk_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (3, [1.0, 0.0]), (50, [1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 3, 256 * 256)]
