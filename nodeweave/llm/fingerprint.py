@@ -2,7 +2,8 @@
 
 A text is a sequence of units: runs of up to UNIT characters without white space, and of longer runs every window of UNIT
 characters, so that text without white space is rolled over by the character. A k-mer of units is a closed syncmer if
-the least of its inner s-mers, by hash, is its first or its last. Whether it is depends on nothing outside the k-mer, so
+the least of its inner s-mers, by hash, is its first or its last; of K - S + 1 that is two, so half of the k-mers are kept.
+Whether one is depends on nothing outside the k-mer, so
 an edit changes only the anchors that it touches, and equal passages have the same anchors wherever they stand. The
 fingerprint is all closed syncmers in the order of the text, each as eight hex digits, and beside it the number of the
 first unit of each; its size follows that of the text.
@@ -10,7 +11,10 @@ first unit of each; its size follows that of the text.
 The likeness of two fingerprints matches by position: two anchors in a row agree with two in a row of the other text if
 the hashes and the distance are the same, wherever they stand. It is the Dice coefficient of these links, counted as often
 as they occur. Null text is empty text, with an empty fingerprint. A text with fewer units than a k-mer, or without a syncmer, has
-one anchor: its own hash. Two empty fingerprints are alike (1), an empty and another are not (0).
+one anchor: its own hash. Two empty fingerprints are alike (1), an empty and another are not (0). Equal texts have equal
+fingerprints; hashes that are equal by chance would be taken as one anchor. A text of any length is one row. Other columns,
+of whatever name, are left alone, but for old ones named as the results. An empty table gives no rows. The least long of
+all is no id here, and an error.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql.window import Window
 
 from nodeweave.llm.common import cut, prepare, table
 
-UNIT, K, S = 12, 4, 2
+UNIT, K, S = 12, 5, 2
 LOW = (1 << 32) - 1
 #: Stands for a null id in joins; ids are larger.
 NO_ID = -(1 << 63)
@@ -128,7 +132,8 @@ def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     Rows that share id and text have one and the same next document, the first other one.
     """
     prepare(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
+    own = F.when(F.col(doc_id) == NO_ID, F.raise_error(F.lit("the least long can't be an id")).cast("bigint")).otherwise(F.col(doc_id))
+    base = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
     links = cut(successors(base.select("id", "hash", F.length("body").alias("n_chars")).distinct()))
     # The texts are dealt by (id, hash) once: as themselves, and as the next of another. Anchors take more room than text, so they are found where the texts meet.
     full = base

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 from zlib import crc32
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -131,6 +133,59 @@ def test_fingerprint_query(spark, tables):
             assert r.near_edited > 0.2
 
 
+def spark_hash(*values):
+    """xxhash64 as Spark chains it: the hash of one value is the seed of the next."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else int(v[0]).to_bytes(v[1], "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_anchors(text):
+    """(hash, first unit) of every closed syncmer, from its definition."""
+    unit, k, s = fingerprint.UNIT, fingerprint.K, fingerprint.S
+    units = []
+    for run in re.findall(r"\S+", text, re.ASCII):
+        units += [run] if len(run) <= unit else [run[i : i + unit] for i in range(len(run) - unit + 1)]
+    u = [(spark_hash(x), 8) for x in units]
+    out = []
+    for i in range(len(u) - k + 1):
+        mers = [spark_hash(*u[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(mers) in (mers[0], mers[-1]):
+            parts = [*mers[: k - s + 1 : s], mers[-1]]
+            out.append((spark_hash(*((m, 8) for m in parts)) >> 32, i))
+    return out or ([(spark_hash(text) >> 32, 0)] if text else [])
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    link = lambda x: Counter((p[0], q[0], q[1] - p[1]) for p, q in zip(x, x[1:])) if len(x) > 1 else Counter([x[0][0]])
+    a, b = link(a), link(b)
+    return 2 * (a & b).total() / (a.total() + b.total())
+
+
+def test_fingerprints_by_brute_force(spark, tables):
+    docs = [(i, t or "") for i, (_, t) in enumerate(copies(4, groups=1, of=6, passage=4))] + [(900, "中文" * 30 + " a b"), (901, "kurz"), (902, "a\u00a0b c\x0bd e f g h i j"), (903, "x" * 40)]
+    got = {r.doc_id: r for r in QUERIES["op6_document_fingerprint"](spark, tables(documents=(docs, DOCS))).collect()}
+    order = sorted(docs, key=lambda x: -x[0])
+    for i, (d, t) in enumerate(order):
+        after, half = order[(i + 1) % len(order)][1], len(t) // 2
+        own, edited, following = (brute_anchors(x) for x in (t, t[: len(t) - half] + after[:half], after))
+        told = lambda x: "".join(f"{h & 0xFFFFFFFF:08x}" for h, _ in x)
+        r = got[d]
+        assert (r.fingerprint, r.edited_fingerprint, r.fingerprint_at) == (told(own), told(edited), [at for _, at in own])
+        assert (round(r.near_edited, 9), round(r.near_next, 9)) == (round(brute_likeness(own, edited), 9), round(brute_likeness(own, following), 9))
+
+
+def test_syncmers_choose_half(spark):
+    r = random.Random(10)
+    text = " ".join(str(r.randrange(10**6)) for _ in range(8000))
+    (row,) = fingerprint.with_anchors(spark.createDataFrame([(1, text)], DOCS), "text", "x").collect()
+    assert 0.46 < len(row.x) / 8000 < 0.54
+
+
 def test_anchors_are_context_free(spark):
     r = random.Random(6)
     words = [f"word{i}" for i in range(400)]
