@@ -7,7 +7,11 @@ agree from there on. A boundary counts only after a character that is not white
 change the match before it. From the first pair of chunks without a common boundary on, the rest of that text is one
 piece, so the result is always that of a single pass.
 
-Null text is encoded as empty text: no ids. Repeated rows are encoded one by one. Any other column is left alone.
+Long rows are written once, with their numbers, before they are dealt out, so that a task that runs again finds the same
+rows under the same numbers.
+
+Null text is encoded as empty text: no ids. Repeated rows are encoded one by one. Any other column is left alone, and an
+old column named as the result goes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nodeweave.llm.common import prepare, table
+from nodeweave.llm.common import prepare, stored, table
 
 #: Code points in a chunk, and in the part it shares with the next.
 CHUNK, OVERLAP = 32_768, 512
@@ -91,10 +95,11 @@ def encode(
     path, pattern = (ranks_path or default_ranks()[0]), pattern or default_ranks()[1]
     row, body = "__nw_row", "__nw_text"
     own = [c for c in docs.columns if c != ids]
-    base = docs.select(*own, F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text), F.lit("")).alias(body))
+    own_columns = [F.col(f"`{c}`") for c in own]
+    base = docs.select(*own_columns, F.coalesce(F.col(text), F.lit("")).alias(body))
     is_long = F.length(body) > chunk + overlap
-    schema = docs.select(*own).schema
-    short = base.filter(~is_long).drop(row)
+    schema = docs.select(*own_columns).schema
+    short = base.filter(~is_long)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
@@ -102,10 +107,10 @@ def encode(
             yield _with_ids(b, body, ids, [encode_text(x, enc) for x in b[body].to_pylist()])
 
     done = short.mapInArrow(whole, f"{_ddl(schema)}, {body} string, `{ids}` array<bigint>").drop(body)
-    long_rows = base.filter(is_long)
+    long_rows = stored(base.filter(is_long).withColumn(row, F.monotonically_increasing_id()), "long-texts")
     pieces = long_pieces(long_rows.select(row, body), row, body, path, pattern, chunk, overlap)
     gathered = pieces.groupBy(row).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias(ids))
-    return done.unionByName(long_rows.drop(body).join(gathered, row).select(*own, ids))
+    return done.unionByName(long_rows.drop(body).join(gathered, row).select(*own_columns, ids))
 
 
 def _ddl(schema) -> str:
