@@ -5,11 +5,16 @@ fixed size by independent tasks; each finds its separators with one vectorised c
 of a file (its last separator before a block, and how many) stitches documents that lie across blocks. The scan sees one
 short row per block; the separators themselves never meet in one task.
 
-An empty file has no documents. Ids after the last separator are one more document that is not `closed`.
+An empty file has no documents. Ids after the last separator are one more document that is not `closed`. Where texts are
+encoded: null text is empty, with no ids but its separator; repeated rows are documents of their own; a text of any length
+is written as one; other columns, of whatever name, are not read; an empty table gives no file. An id or separator that
+WIDTH bytes can't hold is an error. Tasks open files by pyarrow, so the folder must be of a kind that it knows (local or
+mounted paths, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -30,6 +35,7 @@ BLOCK, WIDTH = 4 << 20, 2
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path that a task reads or writes; file:/x, as Spark writes it, too."""
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
 
 
@@ -46,7 +52,9 @@ def write_token_files(docs: DataFrame, folder: str, *, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        end = np.array([enc.max_token_value + 1 if separator is None else separator], "<u2")
+        end = np.array([enc.max_token_value + 1 if separator is None else separator], "<u4")
+        if max(int(end[0]), enc.max_token_value) >= 1 << 8 * WIDTH:
+            raise ValueError(f"ids of {path} and the separator {end[0]} must be below {1 << 8 * WIDTH}")
         name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         files, root = store(folder)
         out, at = None, 0
@@ -56,7 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, *, key: str = "doc_id", text
                     files.create_dir(root, recursive=True)
                     out = files.open_output_stream(f"{root}/{name}")
                 for x in b[text].to_pylist():
-                    out.write(encode_text(x or "", enc).astype("<u2").tobytes() + end.tobytes())
+                    out.write(np.append(encode_text(x or "", enc), end).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows, pa.string()), pa.array(range(at, at + b.num_rows), pa.int64()), b[key]], names=["file", "ordinal", key])
                 at += b.num_rows
         finally:

@@ -150,6 +150,17 @@ def test_token_counts(spark, tmp_path, block):
     assert got == {d: len(enc.encode_ordinary(t or "")) for d, t in docs}
 
 
+def test_token_count_query(spark, tables):
+    enc = byte_bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = [tuple(r) for r in QUERIES["op7_token_counts"](spark, tables(documents=(wide(rows()), WIDE))).collect()]
+    assert sorted(got, key=repr) == sorted(((d, len(enc.encode_ordinary(t or ""))) for d, t in rows()), key=repr)
+
+
+def test_ids_too_wide(spark, tmp_path):
+    with pytest.raises(Exception, match="must be below 65536"):
+        token_counts.write_token_files(spark.createDataFrame([(1, "x")], DOCS), f"file://{tmp_path}/t", separator=70_000)
+
+
 def test_unfinished_document(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "t.bin").write_bytes(np.array([9, 9, 5, 5, 1, 2, 3], "<u2").tobytes())
