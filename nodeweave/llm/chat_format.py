@@ -9,7 +9,8 @@ assistant's text begins and -1 where it ends.
 
 One row per turn, in any order; a conversation is the rows of its conv_id by turn, ties by role and ids. So no
 conversation, however long, has to fit into one row. Null text or role is empty text; null conv_id is a conversation of
-its own; null turns come first. An empty table gives no rows. Repeated rows are turns of their own.
+its own; null turns come first. An empty table gives no rows. Repeated rows are turns of their own. Other columns, of
+whatever name, are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,11 @@ Shards are runs of one scan partition, so nothing is shuffled and no task holds
 sequences are opened as the shard fills entirely; what is over is carried into the partition's next shard, and at the
 partition's end it goes into sequences whose lengths are powers of two, which need no padding.
 
-Null text is empty text: just its separator. Repeated rows are packed one by one. An empty table gives no rows.
+Null text is empty text: just its separator. Repeated rows are packed one by one, rows with a null key too. Of pieces of
+one length the one read first comes first, of sequences of one cost the one opened first is taken. A text of any length is
+tokenized whole. Other columns, of whatever name, are not read. An empty table gives no rows.
+
+Ids are those of the tokenizer's file: the string of one of its added tokens, found in a text, is that token's id.
 """
 
 from __future__ import annotations
