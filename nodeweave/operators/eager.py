@@ -9,16 +9,19 @@ from nodeweave.model import Node
 from nodeweave.operators.traverse import directed
 
 
-def related(catalog, cls: type[Node], names: list[str], df: DataFrame) -> DataFrame:
+def related(catalog, cls: type[Node], names: list[str], df: DataFrame, few: bool = False) -> DataFrame:
     """Add, per relation in `names`, an array of target structs in the order of their ids.
 
-    Each relation is gathered before the join, so several of them make no cross product. Unknown names are left out.
+    `few`: `df` is a small part of its label, so only its own edges are gathered. Each relation is gathered before the join, so several of them make no cross product. Unknown names are left out.
     """
     for name in names:
         relation = cls.relations.get(name)
         if relation is None:
             continue
-        ends = directed(catalog.edges(relation.relationship), relation.direction).select("_src", "_dst").distinct()
+        ends = directed(catalog.edges(relation.relationship), relation.direction).select("_src", "_dst")
+        if few:
+            ends = ends.join(df.select(F.col("_id").alias("__few")), F.col("_src") == F.col("__few"), "left_semi")
+        ends = ends.distinct()
         target = catalog.nodes(relation.target.primary_label)
         nested = ends.join(target, ends["_dst"] == target["_id"]).select("_src", F.struct(*target.columns).alias("__t"))
         nested = nested.groupBy("_src").agg(F.collect_list("__t").alias("__list"))

@@ -1,4 +1,7 @@
-"""Writes as pure functions: a catalog and rows in, a catalog out. Nothing is changed in place."""
+"""Writes as pure functions: a catalog and rows in, a catalog out. Nothing is changed in place.
+
+Beside a table's new state, a write tells its step: only the rows that it adds, changes or deletes. Stores write that.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nodeweave.operators.checkpoints import cut
-from nodeweave.sources.catalog import Catalog
+from nodeweave.sources.catalog import Catalog, Step
 
 
 def aligned(rows: DataFrame, like: DataFrame) -> DataFrame:
@@ -51,26 +54,29 @@ def create_nodes(catalog: Catalog, label: str, rows: DataFrame, labels: Sequence
         # row numbers of partitions depend on the plan, so they are fixed at once
         rows = cut(rows.withColumn("_id", F.monotonically_increasing_id() + next_node_id(catalog, label)))
     wide = with_columns(base, rows)
-    return catalog.with_nodes(label, wide.unionByName(aligned(rows, wide)))
+    new = aligned(rows, wide)
+    return catalog.with_nodes(label, wide.unionByName(new), Step(rows=new, append=True))
 
 
 def update_nodes(catalog: Catalog, label: str, changes: DataFrame, key: str = "_id") -> Catalog:
     """Set the properties that `changes` (one row per key) has a value for; nulls leave a property as it is."""
     base = with_columns(catalog.nodes(label), changes)
     delta = changes.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__new_{c}") for c in changes.columns if c != key))
-    joined = base.join(delta, base[key] == delta["__key"], "left")
+    joined = lambda how: base.join(delta, base[key] == delta["__key"], how)
     cols = [F.coalesce(F.col(f"__new_{c}").cast(base.schema[c].dataType), F.col(c)).alias(c) if f"__new_{c}" in delta.columns else F.col(c) for c in base.columns]
-    return catalog.with_nodes(label, joined.select(*cols))
+    return catalog.with_nodes(label, joined("left").select(*cols), Step(rows=joined("inner").select(*cols)))
 
 
 def detach_delete(catalog: Catalog, label: str, ids: DataFrame) -> Catalog:
     """Delete the nodes whose `_id` is in `ids`, and every edge that touches one."""
     gone = ids.select(F.col("_id").alias("__gone")).distinct()
     base = catalog.nodes(label)
-    out = catalog.with_nodes(label, base.join(gone, base["_id"] == gone["__gone"], "left_anti"))
+    out = catalog.with_nodes(label, base.join(gone, base["_id"] == gone["__gone"], "left_anti"), Step(gone=gone.select(F.col("__gone").alias("_id"))))
     for name in list(catalog.edge_tables.keys()):
         e = catalog.edges(name)
-        out = out.with_edges(name, e.join(gone, e["_src"] == gone["__gone"], "left_anti").join(gone, F.col("_dst") == F.col("__gone"), "left_anti"))
+        touching = e.join(gone, e["_src"] == gone["__gone"], "left_semi").select("_eid").union(e.join(gone, e["_dst"] == gone["__gone"], "left_semi").select("_eid"))
+        rest = e.join(gone, e["_src"] == gone["__gone"], "left_anti").join(gone, F.col("_dst") == F.col("__gone"), "left_anti")
+        out = out.with_edges(name, rest, Step(gone=touching))
     return out
 
 
@@ -90,14 +96,19 @@ def merge_edges(catalog: Catalog, edge_type: str, rows: DataFrame, both: bool =
     delta = ends("_src", "_dst")
     if both:
         delta = delta.unionByName(ends("_dst", "_src").filter("__s <> __d")).dropDuplicates(["__s", "__d"])
-    joined = base.join(delta, (base["_src"] == F.col("__s")) & (base["_dst"] == F.col("__d")), "left")
-    kept = joined.select(*(F.coalesce(F.col(f"__new_{c}").cast(base.schema[c].dataType), F.col(c)).alias(c) if c in props else F.col(c) for c in base.columns))
+    on = (base["_src"] == F.col("__s")) & (base["_dst"] == F.col("__d"))
+    cols = [F.coalesce(F.col(f"__new_{c}").cast(base.schema[c].dataType), F.col(c)).alias(c) if c in props else F.col(c) for c in base.columns]
+    kept = base.join(delta, on, "left").select(*cols) if props else base
     have = base.select(F.col("_src").alias("__s"), F.col("_dst").alias("__d")).distinct()
     if both:
         have = have.union(base.select("_dst", "_src")).distinct()
     new = rows.join(have, (F.col("_src") == F.col("__s")) & (F.col("_dst") == F.col("__d")), "left_anti")
     new = cut(new.withColumn("_eid", F.monotonically_increasing_id() + next_id(base, "_eid")))
-    return catalog.with_edges(edge_type, kept.unionByName(aligned(new, base)))
+    new = aligned(new, base)
+    if not props:  # what is there stays as it is
+        return catalog.with_edges(edge_type, kept.unionByName(new), Step(rows=new, append=True))
+    changed = catalog.with_edges(edge_type, kept, Step(rows=base.join(delta, on).select(*cols)))
+    return changed.with_edges(edge_type, kept.unionByName(new), Step(rows=new, append=True))
 
 
 def delete_edges(catalog: Catalog, edge_type: str, pairs: DataFrame, both: bool = False) -> Catalog:
@@ -106,7 +117,8 @@ def delete_edges(catalog: Catalog, edge_type: str, pairs: DataFrame, both: bool
     if both:
         gone = gone.union(pairs.select("_dst", "_src"))
     base = catalog.edges(edge_type)
-    return catalog.with_edges(edge_type, base.join(gone, (base["_src"] == F.col("__s")) & (base["_dst"] == F.col("__d")), "left_anti"))
+    at = lambda how: base.join(gone, (base["_src"] == F.col("__s")) & (base["_dst"] == F.col("__d")), how)
+    return catalog.with_edges(edge_type, at("left_anti"), Step(gone=at("left_semi").select("_eid")))
 
 
 def upsert_nodes(catalog: Catalog, label: str, rows: DataFrame, key: str, labels: Sequence[str] = (), order: str | None = None) -> Catalog:

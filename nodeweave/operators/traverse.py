@@ -17,8 +17,11 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return back if direction == INCOMING else edges.unionByName(back.filter("_src <> _dst"))
 
 
-def hop(df: DataFrame, edges: DataFrame, target: DataFrame, step: Hop, edge: str, condition: Column | None, target_known: bool) -> DataFrame:
-    """Join one hop. Of an optional one, edge and target are joined first, so that the pattern is null as a whole."""
+def hop(df: DataFrame, edges: DataFrame, target: DataFrame, step: Hop, edge: str, condition: Column | None, target_known: bool, selective: bool = False) -> DataFrame:
+    """Join one hop. Of an optional one, edge and target are joined first, so that the pattern is null as a whole.
+
+    `selective`: `df` has been filtered, so the edges of an optional hop are first reduced to those that start in it.
+    """
     on = F.col(f"{step.source}___id") == F.col(f"{edge}___src")
     ends = F.col(f"{edge}___dst") == F.col(f"{step.target}___id")
     if not step.optional:  # from left to right, so that what is selective comes first
@@ -26,6 +29,9 @@ def hop(df: DataFrame, edges: DataFrame, target: DataFrame, step: Hop, edge: str
         out = out.withColumn(f"{step.target}___id", F.col(f"{edge}___dst")) if target_known else out.join(target, ends)
         out = out if condition is None else out.filter(condition)
     else:
+        if selective and not target_known:
+            starts = df.select(F.col(f"{step.source}___id").alias("__start"))
+            edges = edges.join(starts, F.col(f"{edge}___src") == F.col("__start"), "left_semi")
         pattern = edges.withColumn(f"{step.target}___id", F.col(f"{edge}___dst")) if target_known else edges.join(target, ends)
         out = df.join(pattern, on if condition is None else on & condition, "left")
     return out if step.edge_alias else out.drop(f"{edge}___src", f"{edge}___dst")

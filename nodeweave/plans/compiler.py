@@ -137,6 +137,7 @@ def match(spec: QuerySpec, catalog, scope: Scope) -> DataFrame:
     if isinstance(spec.source, VectorSource):
         df = df.withColumn(SCORE, search.distance(F.col(f"{spec.alias}__{spec.source.field}"), spec.source))
     after = all_of(post, scope)
+    selective = bool(root) or isinstance(spec.source, FulltextSource)
     reach = reachable_only(spec)
     for i, hop in enumerate(spec.hops):
         last = i == len(spec.hops) - 1
@@ -146,7 +147,7 @@ def match(spec: QuerySpec, catalog, scope: Scope) -> DataFrame:
             edges = traverse.directed(catalog.edges(hop.relation.relationship), hop.relation.direction)
             # without a name only the ends of an edge matter
             edges = prefixed(edges if hop.edge_alias else edges.select("_src", "_dst"), hop.edge_alias or f"__e{i}")
-            df = traverse.hop(df, edges, target, hop, hop.edge_alias or f"__e{i}", condition, known_target(spec, catalog, scope, hop))
+            df = traverse.hop(df, edges, target, hop, hop.edge_alias or f"__e{i}", condition, known_target(spec, catalog, scope, hop), selective)
         else:
             sources = df.select(F.col(f"{hop.source}___id").alias("_start")).distinct()
             pairs = paths.expand(catalog.edges(hop.relation.relationship), sources, hop.relation.direction, hop.min_hops, hop.max_hops, reach)

@@ -1,7 +1,7 @@
 """Unit of work and identity map over a store.
 
 Reads see the published graph and what this session has flushed. Writes are gathered and flushed as one batch per model,
-new before changed before deleted; commit publishes them as one snapshot, rollback forgets them.
+new before changed before related before deleted; commit publishes them as one snapshot, rollback forgets them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from nodeweave.cypher.parse import parse
 from nodeweave.exceptions import ConstraintFailedError, MetadataError
 from nodeweave.model import BOTH, INCOMING, NOT_LOADED, Edge, Node, Relation, attach, edge_schema, node_schema, registry
 from nodeweave.operators import mutate
+from nodeweave.operators.checkpoints import cut
 from nodeweave.operators.eager import related
 from nodeweave.operators.traverse import directed
 from nodeweave.plans.builder import QueryBuilder
@@ -31,6 +32,8 @@ from nodeweave.sources.store import GraphStore
 N = TypeVar("N", bound=Node)
 #: A longer list of keys is joined rather than put into the plan.
 MOST_LITERALS = 1000
+#: Up to so many links of one flush are broadcast.
+MOST_BROADCAST = 100_000
 
 
 class Session:
@@ -40,8 +43,9 @@ class Session:
         self.store = store
         self.spark = store.catalog().spark
         self._identities: dict[tuple[type, Any], Node] = {}
-        self._pending: list[Node] = []
-        self._deleted: list[Node] = []
+        self._pending: dict[int, Node] = {}  # by id(), in the order of adding
+        self._deleted: dict[int, Node] = {}
+        self._links: list[tuple[Node, Relation, Node, Edge | None]] = []
         self._begin()
 
     def _begin(self) -> None:
@@ -63,8 +67,8 @@ class Session:
     def add(self, entity: Node) -> None:
         if not isinstance(entity, Node):
             raise TypeError("only nodes can be added")
-        if entity not in self._pending and entity.__dict__["_new"]:
-            self._pending.append(entity)
+        if id(entity) not in self._pending and entity.__dict__["_new"]:
+            self._pending[id(entity)] = entity
             attach(entity, self)
 
     def add_all(self, entities: Iterable[Node]) -> None:
@@ -72,18 +76,17 @@ class Session:
             self.add(e)
 
     def delete(self, entity: Node) -> None:
-        if entity in self._pending:
-            self._pending.remove(entity)
-        elif entity not in self._deleted:
-            self._deleted.append(entity)
+        if self._pending.pop(id(entity), None) is None:
+            self._deleted[id(entity)] = entity
 
     def _dirty(self) -> list[Node]:
-        return [e for e in self._identities.values() if e.__dict__["_dirty"] and not e.__dict__["_new"] and e not in self._deleted]
+        return [e for e in self._identities.values() if e.__dict__["_dirty"] and not e.__dict__["_new"] and id(e) not in self._deleted]
 
     def flush(self) -> None:
-        """Write what has been gathered into this session's view: new, changed, deleted."""
-        pending, dirty, deleted = list(self._pending), self._dirty(), list(self._deleted)
-        if not (pending or dirty or deleted):
+        """Write what has been gathered into this session's view: new, changed, related, deleted."""
+        pending, dirty, deleted = list(self._pending.values()), self._dirty(), list(self._deleted.values())
+        links, self._links = self._links, []
+        if not (pending or dirty or deleted or links):
             return
         for e in (*pending, *dirty):
             e.check_required()
@@ -92,6 +95,7 @@ class Session:
             catalog = self._create(catalog, label, labels, group)
         for (label, _), group in self._grouped(dirty).items():
             catalog = self._update(catalog, label, group)
+        catalog = self._relate_all(catalog, links)
         for (label, _), group in self._grouped(deleted).items():
             catalog = mutate.detach_delete(catalog, label, self._ids(catalog, label, group))
         self._stage(catalog)
@@ -103,8 +107,10 @@ class Session:
         for e in deleted:
             self._identities.pop((self._root(type(e)), e.pk), None)
             attach(e, None)
-        self._pending = [e for e in self._pending if e not in pending]
-        self._deleted = [e for e in self._deleted if e not in deleted]
+        for e in pending:
+            self._pending.pop(id(e), None)
+        for e in deleted:
+            self._deleted.pop(id(e), None)
 
     @staticmethod
     def _grouped(entities: list[Node]) -> dict[tuple[str, tuple[str, ...]], list[Node]]:
@@ -167,9 +173,9 @@ class Session:
 
     def rollback(self) -> None:
         """Forget all that isn't published; entities are read anew when next asked for."""
-        for e in self._pending:
+        for e in self._pending.values():
             attach(e, None)
-        self._pending, self._deleted = [], []
+        self._pending, self._deleted, self._links = {}, {}, []
         for e in self._identities.values():
             e.__dict__.update(_expired=True, _dirty=False)
         self._begin()
@@ -205,13 +211,13 @@ class Session:
 
     def expunge(self, e: Node) -> None:
         self._identities.pop((self._root(type(e)), e.pk), None)
-        self._pending = [x for x in self._pending if x is not e]
+        self._pending.pop(id(e), None)
         attach(e, None)
 
     def expunge_all(self) -> None:
-        for e in (*self._identities.values(), *self._pending):
+        for e in (*self._identities.values(), *self._pending.values()):
             attach(e, None)
-        self._identities, self._pending, self._deleted = {}, [], []
+        self._identities, self._pending, self._deleted, self._links = {}, {}, {}, []
 
     def expire(self, e: Node) -> None:
         e.__dict__["_expired"] = True
@@ -295,7 +301,7 @@ class Session:
             df = df if limit is None else df.limit(limit)
         names = [n for n in fetch or () if n in cls.relations]
         if names:
-            df = related(self.catalog, cls, names, df)
+            df = related(self.catalog, cls, names, df, few=pks is not None)
         out = []
         for row in df.collect():
             e = self._decode(row, cls)
@@ -407,18 +413,36 @@ class Session:
         return pairs.select(F.col("_dst").alias("_src"), F.col("_src").alias("_dst")) if relation.direction == INCOMING else pairs
 
     def relate(self, source: Node, relation: Relation, target: Node, edge: Edge | None = None) -> None:
-        """Make the relationship, or set its properties if there is one."""
-        rows = self._ends(relation, source, target)
+        """Make the relationship, or set its properties if there is one; gathered, and written with the next flush."""
+        if not isinstance(relation, Relation):
+            raise TypeError("a declared relation is needed")
         if edge is not None:
             edge.check_required()
-            fields = {f.name: f.dataType for f in edge_schema(type(edge)).fields[3:]}
-            from nodeweave.functions.predicates import literal
-
-            for name, value in edge.properties().items():
-                rows = rows.withColumn(name, F.lit(None).cast(fields[name]) if value is None else literal(value, fields[name]).cast(fields[name]))
-        self._stage(mutate.merge_edges(self.catalog, relation.relationship, rows, relation.direction == BOTH))
+        self._links.append((source, relation, target, edge))
         self._unload(source, relation)
 
+    def _relate_all(self, catalog: Catalog, links: list[tuple[Node, Relation, Node, Edge | None]]) -> Catalog:
+        """One merge for all links of a kind; a link between ends that came before goes into a later round."""
+        seen: dict[tuple, int] = defaultdict(int)
+        rounds: dict[tuple, list] = defaultdict(list)
+        for source, relation, target, edge in links:
+            ends = tuple((type(e).primary_label, e.pk) for e in ((target, source) if relation.direction == INCOMING else (source, target)))
+            key = (relation.relationship, frozenset(ends) if relation.direction == BOTH else ends)
+            rounds[seen[key], relation.relationship, relation.direction, type(source), type(target), type(edge)].append((source, target, edge))
+            seen[key] += 1
+        for (_, name, direction, of, to, kind), group in sorted(rounds.items(), key=lambda x: x[0][0]):
+            props = [] if kind is type(None) else edge_schema(kind).fields[3:]
+            columns = [T.StructField("__from", self._key(of)[1]), T.StructField("__to", self._key(to)[1]), *props]
+            rows = [(of.primary_key().to_graph(a.pk), to.primary_key().to_graph(b.pk), *(e.properties()[f.name] for f in props)) for a, b, e in group]
+            df = self.spark.createDataFrame(rows, T.StructType(columns))
+            for cls, column, end in ((of, "__from", "_src"), (to, "__to", "_dst")):
+                nodes = catalog.nodes(cls.primary_label).select(F.col(self._key(cls)[0]).alias("__pk"), F.col("_id").alias(end))
+                df = nodes.join(F.broadcast(df) if len(rows) <= MOST_BROADCAST else df, F.col("__pk") == F.col(column)).drop("__pk", column)
+            if direction == INCOMING:
+                df = df.withColumnsRenamed({"_src": "_dst", "_dst": "_src"})
+            catalog = mutate.merge_edges(catalog, name, cut(df), direction == BOTH)
+        return catalog
+
     def unrelate(self, source: Node, relation: Relation, target: Node) -> None:
         self._stage(mutate.delete_edges(self.catalog, relation.relationship, self._ends(relation, source, target), relation.direction == BOTH))
         self._unload(source, relation)

@@ -44,6 +44,15 @@ class Constraint:
     entity: str = "NODE"
 
 
+@dataclass(frozen=True)
+class Step:
+    """What one write did to a table: rows that are new (`append`) or take the place of those of their ids, and ids that went."""
+
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+    append: bool = False
+
+
 @dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
@@ -53,6 +62,8 @@ class Catalog:
     constraints: tuple[Constraint, ...] = ()
     #: (edge type, source label, target label) whose edges are known to start and end in these node tables.
     complete: frozenset[tuple[str, str, str]] = frozenset()
+    #: Of a changed table, by ("nodes" or "edges", name): the table before, and the steps from there; without it, it is all new.
+    steps: dict[tuple[str, str], tuple[DataFrame, tuple[Step, ...]]] = field(default_factory=dict)
 
     def nodes(self, primary_label: str) -> DataFrame:
         """The table of a label; an empty one for a declared label without nodes."""
@@ -67,11 +78,21 @@ class Catalog:
         found = self.edge_tables.get(edge_type)
         return self.spark.createDataFrame([], edge_schema(registry.edges.get(edge_type))) if found is None else found
 
-    def with_nodes(self, primary_label: str, df: DataFrame) -> Catalog:
-        return replace(self, node_tables={**self.node_tables, primary_label: df})
-
-    def with_edges(self, edge_type: str, df: DataFrame) -> Catalog:
-        return replace(self, edge_tables={**self.edge_tables, edge_type: df}, complete=frozenset(x for x in self.complete if x[0] != edge_type))
+    def _stepped(self, key: tuple[str, str], old: DataFrame | None, step: Step | None) -> dict:
+        rest = {k: v for k, v in self.steps.items() if k != key}
+        if step is None or old is None:
+            return rest
+        base, done = self.steps.get(key, (old, ()))
+        return {**rest, key: (base, (*done, step))}
+
+    def with_nodes(self, primary_label: str, df: DataFrame, step: Step | None = None) -> Catalog:
+        """Another table for the label; `step` tells stores how it comes about from the one before, so that they need not write it all."""
+        steps = self._stepped(("nodes", primary_label), self.node_tables.get(primary_label), step)
+        return replace(self, node_tables={**self.node_tables, primary_label: df}, steps=steps)
+
+    def with_edges(self, edge_type: str, df: DataFrame, step: Step | None = None) -> Catalog:
+        steps = self._stepped(("edges", edge_type), self.edge_tables.get(edge_type), step)
+        return replace(self, edge_tables={**self.edge_tables, edge_type: df}, complete=frozenset(x for x in self.complete if x[0] != edge_type), steps=steps)
 
     def is_complete(self, edge_type: str, direction: str, label: str) -> bool:
         end = 1 if direction == INCOMING else 2

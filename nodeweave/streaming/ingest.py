@@ -1,6 +1,6 @@
 """Streams of nodes and edges into a store, one commit per micro-batch.
 
-The number of the last batch is kept in the store's metadata beside the graph, so a batch that is run again after a
+The number of the last batch is published with what it changed, as one version, so a batch that is run again after a
 failure is not applied twice.
 """
 
@@ -25,8 +25,7 @@ def _each(store: GraphStore, name: str, change: Callable[[Catalog, DataFrame], C
         if number <= done.get(name, -1) or batch.isEmpty():
             return
         version = store.version
-        store.commit(change(store.catalog(), batch), version)
-        store.set_meta(store.meta | {KEY: store.meta.get(KEY, {}) | {name: number}})
+        store.commit(change(store.catalog(), batch), version, store.meta | {KEY: done | {name: number}})
 
     return apply
 

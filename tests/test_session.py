@@ -136,3 +136,26 @@ def test_defaults_are_not_shared():
         Text(id="3")
     with pytest.raises(TypeError):
         Text(id="3", title="x", wrong=1)
+
+
+def test_relations_are_gathered(spark):
+    g = MemoryStore(spark)
+    with Session(g) as s:
+        writers = [Writer(id=f"w{i}", name=str(i)) for i in range(6)]
+        texts = [Text(id=f"t{i}", title=str(i)) for i in range(6)]
+        s.add_all([*writers, *texts])
+        for w, t in zip(writers, texts, strict=True):
+            s.relate(w, Writer.texts, t, Wrote(year=2000))
+        s.relate(writers[0], Writer.texts, texts[0], Wrote(year=2001))  # the same ends again: its properties change
+        s.relate(writers[0], Writer.peers, writers[1])
+        s.relate(writers[1], Writer.peers, writers[0])
+        s.relate(writers[2], Writer.texts, Text(id="nowhere", title=""), Wrote(year=1))
+        s.delete(writers[5])
+    s = Session(g)
+    found = s.execute("MATCH (w:Writer)-[r:WROTE]->(t) RETURN w.id AS w, t.id AS t, r.year AS y ORDER BY w")
+    assert [(r["w"], r["t"], r["y"]) for r in found] == [(f"w{i}", f"t{i}", 2001 if i == 0 else 2000) for i in range(5)]
+    assert s.execute("MATCH (a)-[r:PEERS]->(b) RETURN count(*) AS n") == [{"n": 1}]
+    kept = Session(g)
+    kept.relate(kept.get(Writer, "w0"), Writer.friends, kept.get(Writer, "w1"))
+    kept.rollback()
+    assert kept.execute("MATCH (a)-[r:FRIEND_OF]->(b) RETURN count(*) AS n") == [{"n": 0}]
