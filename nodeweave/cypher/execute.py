@@ -47,10 +47,19 @@ def has_aggregate(e: Any) -> bool:
     return any(map(has_aggregate, [*inner, *([e.of] if hasattr(e, "of") else [])]))
 
 
+def patterns_in(e: Any) -> list[P.PatternExists]:
+    """The pattern predicates anywhere in a condition."""
+    if isinstance(e, P.PatternExists):
+        return [e]
+    parts = [e.subject, e.default, *(x for b in e.branches for x in b)] if isinstance(e, P.Case) else e.args if isinstance(e, (P.Op, P.Call)) else []
+    return [x for part in parts for x in patterns_in(part)]
+
+
 class Execution:
     def __init__(self, catalog: Catalog, params: dict[str, Any] | None = None):
         self.catalog, self.params = catalog, params or {}
         self.n = 0
+        self.flags: dict[int, str] = {}  # by id() of a pattern predicate, the column that tells whether it holds
 
     def fresh(self) -> str:
         self.n += 1
@@ -262,9 +271,14 @@ class Execution:
         held, self.env = self.env, env
         if where is not None:
             plain, exists = self.split_exists(where)
-            conditions += [self.expr(x) for x in plain]
+            mixed = [x for x in plain if patterns_in(x)]
+            if optional and (exists or mixed):
+                self.env = held
+                self.optional_by_rows(path, where)
+                return
+            conditions += [self.expr(x) for x in plain if not patterns_in(x)]
         else:
-            exists = []
+            exists, mixed = [], []
         self.env = held
         on = [F.col(f"{v}___id") == F.col(c) for v, c in ends.items()]
         if df is None:
@@ -282,9 +296,36 @@ class Execution:
             self.frame = joined.filter(reduce(Column.__and__, conditions)) if conditions else joined
         self.env = env
         for pattern, negated in exists:
-            if optional:
-                raise UnsupportedCypherError("a pattern predicate on OPTIONAL MATCH")
             self.filter_exists(pattern, negated)
+        for x in mixed:
+            columns = self.frame.columns
+            for e in patterns_in(x):
+                self.flag_exists(e)
+            self.frame = self.frame.filter(self.expr(x)).select(*(F.col(f"`{c}`") for c in columns))
+
+    def optional_by_rows(self, path: P.Path, where: Any) -> None:
+        """An optional match whose condition has patterns: matched as a required one, and joined to the rows by their number."""
+        if self.frame is None:
+            raise UnsupportedCypherError("a pattern predicate on OPTIONAL MATCH at the start of a query")
+        row = self.fresh()
+        outer = cut(self.frame.withColumn(row, F.monotonically_increasing_id()))
+        self.frame = outer
+        self.match_path(path, where, False)
+        found = self.frame.select(row, *(F.col(f"`{c}`") for c in self.frame.columns if c not in outer.columns))
+        self.frame = outer.join(found, row, "left").drop(row)
+
+    def flag_exists(self, e: P.PatternExists) -> None:
+        """Add a column that tells whether the pattern holds, as a condition of which it is a part may ask."""
+        df, _, ends, conditions = self.pattern(e.path, self.env)
+        if df is None or not ends:
+            raise UnsupportedCypherError("a pattern predicate must start from a bound variable")
+        keys = {v: self.fresh() for v in ends}
+        on = [F.col(f"{v}___id") == F.col(c) for v, c in ends.items()]
+        met = self.frame.join(df, reduce(Column.__and__, on + conditions), "left_semi")
+        flag = self.fresh()
+        met = met.select(*(F.col(f"{v}___id").alias(k) for v, k in keys.items())).distinct().withColumn(flag, F.lit(True))
+        self.frame = self.frame.join(met, reduce(Column.__and__, [F.col(f"{v}___id") == F.col(k) for v, k in keys.items()]), "left").drop(*keys.values())
+        self.flags[id(e)] = flag
 
     def split_exists(self, where: Any) -> tuple[list, list[tuple[P.Path, bool]]]:
         """The conjuncts without patterns, and (path, negated) of those that are one."""
@@ -356,6 +397,8 @@ class Execution:
                 return F.array(*map(self.expr, e.items))
             case P.MapOf():
                 return F.struct(*(self.expr(v).alias(k) for k, v in e.items.items()))
+            case P.PatternExists() if id(e) in self.flags:
+                return F.coalesce(F.col(self.flags[id(e)]), F.lit(False))
             case P.HasLabels():
                 return reduce(Column.__and__, (F.array_contains(F.col(f"{e.of.name}___labels"), x) for x in e.labels))
             case P.Case():

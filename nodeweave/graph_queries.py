@@ -110,9 +110,9 @@ def p3_cmp(c):
     return select(Order).where(Order.price > 100000).where(Order.price <= 250000).project(Order.key)
 
 
-@query("SELECT p_partkey AS n_key FROM part WHERE contains(p_name, '1')")
+@query("SELECT p_partkey AS n_key FROM part WHERE contains(p_type, 'AS')")
 def p4_contains(c):
-    return select(Part).where(Part.name.contains("1")).project(Part.key)
+    return select(Part).where(Part.kind.contains("AS")).project(Part.key)
 
 
 @query("SELECT p_partkey AS n_key FROM part WHERE starts_with(p_type, 'S')")
@@ -190,15 +190,15 @@ def r8_with(c):
     return select(Customer).alias("c").where(Customer.balance > 9000).with_("c").traverse(Customer.orders, optional=False).alias("o").project(Customer.key, Order.key)
 
 
-@query("SELECT c_custkey AS ckey, o_orderkey AS okey, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 50")
+@query("SELECT c_custkey AS ckey, o_orderkey AS okey, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey")
 def r3_return_nodes(c):
-    df = select(Customer).alias("c").where(Customer.key < 50).traverse(Customer.orders, optional=False).alias("o").return_nodes("c", "o").to_df(c)
+    df = select(Customer).alias("c").traverse(Customer.orders, optional=False).alias("o").return_nodes("c", "o").to_df(c)
     return df.select(F.col("c.key").alias("ckey"), F.col("o.key").alias("okey"), F.col("o.price").alias("price"))
 
 
-@query("SELECT l_orderkey AS okey, l_partkey AS pkey, l_quantity AS quantity FROM lineitem WHERE l_orderkey < 100")
+@query("SELECT l_orderkey AS okey, l_partkey AS pkey, l_quantity AS quantity FROM lineitem")
 def r4_return_edge(c):
-    df = select(Order).alias("o").where(Order.key < 100).traverse(Order.parts, edge_alias="e", optional=False).alias("p").return_nodes("o", "p").return_edge("e").to_df(c)
+    df = select(Order).alias("o").traverse(Order.parts, edge_alias="e", optional=False).alias("p").return_nodes("o", "p").return_edge("e").to_df(c)
     return df.select(F.col("o.key").alias("okey"), F.col("p.key").alias("pkey"), F.col("e.quantity").alias("quantity"))
 
 
@@ -483,33 +483,37 @@ def w2_update(c):
     return mutate.update_nodes(c, "Part", changes, "key").nodes("Part").select("key", "brand", "price")
 
 
-@query("""SELECT 'customers' AS what, count(*) AS n FROM customer WHERE c_acctbal >= 0
-UNION ALL SELECT 'placed', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0
-UNION ALL SELECT 'nation', count(*) FROM customer WHERE c_acctbal >= 0""")
+EDGE_COUNTS = {
+    "IN_REGION": "nation", "FROM_NATION": "customer WHERE c_acctbal >= 0", "BASED_IN": "supplier", "PLACED": "orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0", "CONTAINS": "lineitem", "SHIPPED_BY": "lineitem", "DID": "events",
+    "HAS_LABEL": "labels", "REPLIES_TO": "conversations WHERE turn > 0", "RING": "range(50)", "NEXT": "(SELECT lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL",
+}
+
+
+@query("SELECT 'Customer' AS what, count(*) AS n FROM customer WHERE c_acctbal >= 0 " + " ".join(f"UNION ALL SELECT '{k}', count(*) FROM {v}" for k, v in EDGE_COUNTS.items()))
 def w3_detach_delete(c):
     gone = c.nodes("Party").filter(F.array_contains("_labels", "Customer") & (F.col("balance") < 0)).select("_id")
-    kept = Catalog(c.spark, {"Party": c.nodes("Party")}, {k: c.edges(k) for k in ("PLACED", "FROM_NATION")})
-    out = mutate.detach_delete(kept, "Party", gone)
+    out = mutate.detach_delete(c, "Party", gone)
     n = lambda what, df: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
-    return n("customers", out.nodes("Party").filter(F.array_contains("_labels", "Customer"))).union(n("placed", out.edges("PLACED"))).union(n("nation", out.edges("FROM_NATION")))
+    left = n("Customer", out.nodes("Party").filter(F.array_contains("_labels", "Customer")))
+    return functools.reduce(DataFrame.union, (n(name, out.edges(name)) for name in out.edge_tables.keys()), left)
 
 
 def _likes(c: Catalog) -> tuple[Catalog, DataFrame]:
-    """Edges LIKES from customers below 50 to their nation; and rows for those from 40 to 59."""
-    e = c.edges("FROM_NATION")
-    base = e.filter("_eid < 50").withColumn("weight", F.lit(1))
-    rows = e.filter("_eid >= 40 AND _eid < 60").select("_src", "_dst", F.lit(2).alias("weight"))
-    return Catalog(c.spark, {}, {"LIKES": base}), rows
+    """Edges LIKES from customers to their nation, if its key is below 15; and rows for those whose nation's is 10 or more."""
+    e, nation = c.edges("FROM_NATION"), F.col("_dst") % (1 << 44)
+    base = e.filter(nation < 15).withColumn("weight", F.lit(1))
+    rows = e.filter(nation >= 10).select("_src", "_dst", F.lit(2).alias("weight"))
+    return c.with_edges("LIKES", base), rows
 
 
-@query("SELECT c_custkey AS customer, CASE WHEN c_custkey >= 40 THEN 2 ELSE 1 END AS weight FROM customer WHERE c_custkey < 60")
+@query("SELECT c_custkey AS customer, CASE WHEN c_nationkey >= 10 THEN 2 ELSE 1 END AS weight FROM customer")
 def w4_merge(c):
     have, rows = _likes(c)
     out = mutate.merge_edges(have, "LIKES", rows).edges("LIKES")
     return out.select((F.col("_src") % (1 << 44)).alias("customer"), "weight")
 
 
-@query("SELECT c_custkey AS customer FROM customer WHERE c_custkey < 40")
+@query("SELECT c_custkey AS customer FROM customer WHERE c_nationkey < 10")
 def w5_unrelate(c):
     have, rows = _likes(c)
     return mutate.delete_edges(have, "LIKES", rows).edges("LIKES").select((F.col("_src") % (1 << 44)).alias("customer"))
@@ -526,10 +530,9 @@ def w7_rename_property(c):
     return mutate.rename_property(c, "Part", "kind", "category").nodes("Part").select("key", "category", "kind")
 
 
-@query("SELECT c_custkey AS key, CASE WHEN c_acctbal < 0 THEN 'Client' ELSE 'Client' END AS label FROM customer")
+@query("SELECT c_custkey AS key, 'Client' AS label FROM customer")
 def w8_relabel(c):
-    only = Catalog(c.spark, {"Party": c.nodes("Party")}, {})
-    out = mutate.relabel_nodes(only, "Customer", "Client").nodes("Party")
+    out = mutate.relabel_nodes(c, "Customer", "Client").nodes("Party")
     return out.filter(F.array_contains("_labels", "Client")).select("key", F.element_at("_labels", -1).alias("label"))
 
 
@@ -552,6 +555,21 @@ def x4_mandatory_violations(c):
 # --- Cypher
 
 
+def cypher(c: Catalog, text: str, params: dict | None = None) -> DataFrame:
+    from nodeweave.cypher import run
+
+    return run(c, text, params)
+
+
+def written(c: Catalog, text: str) -> Catalog:
+    """The catalog that a writing query leaves."""
+    from nodeweave.cypher.execute import Execution
+
+    done = Execution(c)
+    done.run(text)
+    return done.catalog
+
+
 @query("SELECT c_name AS c_name, o_totalprice AS o_price FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND o_totalprice > 200000")
 def c1_cypher_match_return(c):
     from nodeweave.cypher import run
@@ -587,6 +605,108 @@ def c5_cypher_varlen(c):
     return run(c, "MATCH (a:Nation)-[:RING*2..4]->(b:Nation) WHERE a.key < 3 RETURN a.key AS a, b.key AS b, count(*) AS n")
 
 
+@query("SELECT conv_id * 1000 + turn AS a, conv_id * 1000 + turn - d AS b, count(*) AS n FROM conversations, range(2, 5) t(d) WHERE turn >= d GROUP BY ALL")
+def c5_cypher_varlen_whole(c):
+    return cypher(c, "MATCH (a:Turn)-[:REPLIES_TO*2..4]->(b:Turn) RETURN a.key AS a, b.key AS b, count(*) AS n")
+
+
+@query("SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier")
+def c6_cypher_union(c):
+    return cypher(c, "MATCH (c:Customer) RETURN c.name AS name UNION MATCH (s:Supplier) RETURN s.name AS name")
+
+
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region")
+def c6_cypher_union_all(c):
+    return cypher(c, "MATCH (n:Nation) RETURN n.name AS name UNION ALL MATCH (r:Region) RETURN r.name AS name UNION ALL MATCH (r:Region) RETURN r.name AS name")
+
+
+@query("SELECT n_name AS name, x AS x FROM nation JOIN (VALUES (1, 'one'), (3, 'three'), (99, 'none')) t(k, x) ON k = n_nationkey")
+def s13_unwind_rows(c):
+    return cypher(c, "UNWIND $rows AS r MATCH (n:Nation) WHERE n.key = r.k RETURN n.name AS name, r.x AS x", {"rows": [{"k": 1, "x": "one"}, {"k": 3, "x": "three"}, {"k": 99, "x": "none"}]})
+
+
+@query("""SELECT p_partkey AS key, upper(p_name) AS up, lower(p_brand) AS low, length(p_type) AS n, substring(p_name, 1, 4) AS part, replace(p_brand, 'Brand', 'B') AS brand, reverse(p_name) AS back, trim('  ' || p_name) AS bare,
+coalesce(p_name, '') AS name, abs(p_size - 25) AS off, floor(p_retailprice)::BIGINT AS low_price, ceil(p_retailprice)::BIGINT AS high_price, p_size::BIGINT AS size, p_size::DOUBLE AS exact, p_size::VARCHAR AS shown, sqrt(16.0::DOUBLE) AS root FROM part""")
+def c7_cypher_scalars(c):
+    return cypher(c, """MATCH (p:Part) RETURN p.key AS key, toUpper(p.name) AS up, toLower(p.brand) AS low, length(p.kind) AS n, substring(p.name, 0, 4) AS part, replace(p.brand, 'Brand', 'B') AS brand, reverse(p.name) AS back,
+    trim('  ' + p.name) AS bare, coalesce(p.name, '') AS name, abs(p.size - 25) AS off, floor(p.price) AS low_price, ceil(p.price) AS high_price, toInteger(toString(p.size)) AS size, toFloat(p.size) AS exact, toString(p.size) AS shown, sqrt(16.0) AS root""")
+
+
+@query("SELECT c_custkey AS key, 2::BIGINT AS n, 'Party' AS first, 'Customer' AS last, c_custkey + 2 * 17592186044416 AS id, 7.5::DOUBLE AS north, true AS now FROM customer")
+def c7_cypher_entities(c):
+    return cypher(c, "MATCH (c:Customer) WITH c, labels(c) AS l, point({latitude: 7.5, longitude: 1}) AS p RETURN c.key AS key, size(l) AS n, head(l) AS first, last(l) AS last, id(c) AS id, p.latitude AS north, timestamp() > 0 AS now")
+
+
+@query("SELECT n_name AS nation, r_name AS region FROM nation, region WHERE n_nationkey = 3 AND r_regionkey = 2")
+def j9_two_matches(c):
+    return cypher(c, "MATCH (n:Nation {key: 3}), (r:Region {key: 2}) RETURN n.name AS nation, r.name AS region")
+
+
+@query("SELECT r_regionkey::BIGINT AS key, r_name AS name FROM region UNION ALL SELECT 900, 'NEW'")
+def w9_cypher_create(c):
+    return written(c, "CREATE (r:Region {key: 900, name: 'NEW'})").nodes("Region").select("key", "name")
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_size > 40 THEN 'BIG' ELSE p_brand END AS brand, CASE WHEN p_size > 40 THEN NULL ELSE p_type END AS kind FROM part")
+def w9_cypher_set_remove(c):
+    out = written(c, "MATCH (p:Part) WHERE p.size > 40 SET p.brand = 'BIG' REMOVE p.kind")
+    return out.nodes("Part").select("key", "brand", "kind")
+
+
+@query("SELECT 'orders' AS what, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'placed', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'contains', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'")
+def w9_cypher_detach_delete(c):
+    out = written(c, "MATCH (o:Order) WHERE o.status = 'P' DETACH DELETE o")
+    n = lambda what, df: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    return n("orders", out.nodes("Order")).union(n("placed", out.edges("PLACED"))).union(n("contains", out.edges("CONTAINS")))
+
+
+@query("SELECT r_regionkey::BIGINT AS key, CASE WHEN r_regionkey = 1 THEN 'seen' ELSE r_name END AS name FROM region UNION ALL SELECT 901, 'made'")
+def w9_cypher_merge(c):
+    once = written(c, "MERGE (r:Region {key: 1}) ON MATCH SET r.name = 'seen' ON CREATE SET r.name = 'made'")
+    return written(once, "MERGE (r:Region {key: 901}) ON MATCH SET r.name = 'seen' ON CREATE SET r.name = 'made'").nodes("Region").select("key", "name")
+
+
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation")
+def r1_default_return(c):
+    return select(Nation).to_df(c).select("n.key", "n.name")
+
+
+@query("SELECT s_suppkey AS n_key FROM supplier")
+def p8_is_null(c):
+    return select(Party).where(Customer.segment.is_null()).project(Party.key)
+
+
+@query("SELECT c_custkey AS n_key FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def p8_is_not_null(c):
+    return select(Party).where(Customer.segment.is_not_null() & (Customer.segment != "BUILDING")).project(Party.key)
+
+
+@query("SELECT vec_id AS n_key FROM embeddings WHERE embedding = (SELECT min(embedding) FROM embeddings)")
+def v3_vector_equality(c):
+    least = c.nodes("Item").agg(F.min("embedding")).first()[0]
+    return select(Item).where(Item.embedding == least).project(Item.key)
+
+
+@query("SELECT c_mktsegment AS n_segment, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY n DESC, c_mktsegment LIMIT 3")
+def o7_order_after_aggregate(c):
+    return select(Customer).aggregate(count().as_("n"), group_by="n.segment").order_by("n DESC").order_by("n.segment").limit(3)
+
+
+@query("SELECT conv_id * 1000 + turn AS a_key, conv_id * 1000 + turn - 1 AS b_key FROM conversations WHERE turn > 0 UNION ALL SELECT conv_id * 1000 + turn - 1, conv_id * 1000 + turn FROM conversations WHERE turn > 0")
+def j3_both_hop_whole(c):
+    return select(Turn).alias("a").traverse(Turn.beside, optional=False).alias("b").project("a.key", "b.key")
+
+
+@query("""SELECT t.conv_id * 1000 + t.turn AS a_key, u.conv_id * 1000 + u.turn AS b_key FROM conversations t JOIN conversations u ON u.conv_id = t.conv_id AND abs(u.turn - t.turn) BETWEEN 1 AND 3""")
+def j6_varlen_both_whole(c):
+    return select(Turn).alias("a").repeat(Turn.beside, 1, 3).alias("b").project("a.key", "b.key")
+
+
+@query("SELECT t.conv_id * 1000 + t.turn AS a_key, u.conv_id * 1000 + u.turn AS b_key FROM conversations t JOIN conversations u ON u.conv_id = t.conv_id AND u.turn < t.turn")
+def j6_reachability_whole(c):
+    return select(Turn).alias("a").repeat(Turn.replies_to).alias("b").distinct().project("a.key", "b.key")
+
+
 @query("SELECT event_id AS e_key, nxt AS f_key FROM (SELECT event_id, event_type, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND event_type = 'click'")
 def j2_event_next(c):
     return select(Event).alias("e").where(Event.kind == "click").traverse(Event.next, optional=False).alias("f").project("e.key", "f.key")

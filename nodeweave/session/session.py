@@ -439,7 +439,7 @@ class Session:
                 nodes = catalog.nodes(cls.primary_label).select(F.col(self._key(cls)[0]).alias("__pk"), F.col("_id").alias(end))
                 df = nodes.join(F.broadcast(df) if len(rows) <= MOST_BROADCAST else df, F.col("__pk") == F.col(column)).drop("__pk", column)
             if direction == INCOMING:
-                df = df.withColumnsRenamed({"_src": "_dst", "_dst": "_src"})
+                df = directed(df, INCOMING)
             catalog = mutate.merge_edges(catalog, name, cut(df), direction == BOTH)
         return catalog
 
@@ -452,6 +452,42 @@ class Session:
         if relation.name in source.__dict__:
             source.__dict__[relation.name] = NOT_LOADED
 
+    # --- whole tables
+
+    def load(self, cls: type[Node], rows: DataFrame, *, merge: bool = True) -> None:
+        """Take in a DataFrame with the model's properties as columns: by primary key, or (`merge` false) as new nodes all.
+
+        It never passes through the driver. Entities of the model that the session holds are read anew.
+        """
+        self.flush()
+        label, fields = cls.primary_label, {f.name: f for f in node_schema(cls.primary_label, [cls]).fields[2:]}
+        unknown = [c for c in rows.columns if c not in fields]
+        if unknown:
+            raise MetadataError(f"{cls.__name__} has no field {', '.join(unknown)}")
+        rows = rows.select(*(F.col(c).cast(fields[c].dataType).alias(c) for c in rows.columns))
+        key, _ = self._key(cls)
+        if merge and key in rows.columns:
+            self._stage(mutate.upsert_nodes(self.catalog, label, rows.dropDuplicates([key]), key, cls.labels))
+        else:
+            self._stage(mutate.create_nodes(self.catalog, label, rows, cls.labels))
+        for e in self._identities.values():
+            if isinstance(e, cls):
+                self.expire(e)
+
+    def load_relations(self, source: type[Node], relation: Relation, rows: DataFrame) -> None:
+        """Merge relationships from a DataFrame with columns source and target, the keys of the ends, and the edge's properties.
+
+        Rows whose ends aren't there are left out.
+        """
+        self.flush()
+        catalog, df = self.catalog, rows
+        for cls, column, end in ((source, "source", "_src"), (relation.target, "target", "_dst")):
+            nodes = catalog.nodes(cls.primary_label).select(F.col(self._key(cls)[0]).alias("__pk"), F.col("_id").alias(end))
+            df = df.join(nodes, F.col(column) == F.col("__pk")).drop("__pk", column)
+        if relation.direction == INCOMING:
+            df = directed(df, INCOMING)
+        self._stage(mutate.merge_edges(catalog, relation.relationship, df, relation.direction == BOTH))
+
     # --- Cypher
 
     def execute(self, text: str, params: dict[str, Any] | None = None, write: bool | None = None) -> list[dict[str, Any]]:

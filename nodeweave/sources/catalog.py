@@ -6,7 +6,7 @@ change gives a new one that shares all other tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -44,6 +44,36 @@ class Constraint:
     entity: str = "NODE"
 
 
+class Tables(dict):
+    """Tables that are read when they are first asked for; a copy with another table reads no more."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]], held: dict[str, DataFrame] | None = None):
+        super().__init__(held or {})
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.makers[name]()
+        return self[name]
+
+    def get(self, name: str, default: Any = None) -> Any:
+        return self[name] if name in self else default
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.makers or super().__contains__(name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.keys())
+
+    def keys(self) -> Any:
+        return {**self.makers, **dict.fromkeys(super().keys())}.keys()
+
+    def items(self) -> Any:
+        return [(name, self[name]) for name in self.keys()]
+
+    def __or__(self, other: dict[str, DataFrame]) -> Tables:
+        return Tables(self.makers, {**{k: self[k] for k in super().keys()}, **other})
+
+
 @dataclass(frozen=True)
 class Step:
     """What one write did to a table: rows that are new (`append`) or take the place of those of their ids, and ids that went."""
@@ -88,11 +118,11 @@ class Catalog:
     def with_nodes(self, primary_label: str, df: DataFrame, step: Step | None = None) -> Catalog:
         """Another table for the label; `step` tells stores how it comes about from the one before, so that they need not write it all."""
         steps = self._stepped(("nodes", primary_label), self.node_tables.get(primary_label), step)
-        return replace(self, node_tables={**self.node_tables, primary_label: df}, steps=steps)
+        return replace(self, node_tables=self.node_tables | {primary_label: df}, steps=steps)
 
     def with_edges(self, edge_type: str, df: DataFrame, step: Step | None = None) -> Catalog:
         steps = self._stepped(("edges", edge_type), self.edge_tables.get(edge_type), step)
-        return replace(self, edge_tables={**self.edge_tables, edge_type: df}, complete=frozenset(x for x in self.complete if x[0] != edge_type), steps=steps)
+        return replace(self, edge_tables=self.edge_tables | {edge_type: df}, complete=frozenset(x for x in self.complete if x[0] != edge_type), steps=steps)
 
     def is_complete(self, edge_type: str, direction: str, label: str) -> bool:
         end = 1 if direction == INCOMING else 2

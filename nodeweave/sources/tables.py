@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nodeweave.model import Edge, Field, Node, Relation, Vector
-from nodeweave.sources.catalog import Catalog
+from nodeweave.sources.catalog import Catalog, Tables
 
 RANGE = 1 << 44
 
@@ -131,6 +131,7 @@ class Turn(Node):
     text: str = Field(index_type="FULLTEXT")
     replies_to = Relation("REPLIES_TO", target="Turn")
     replies: list = Relation("REPLIES_TO", "INCOMING", "Turn")
+    beside: list = Relation("REPLIES_TO", "BOTH", "Turn")
 
 
 class Item(Node):
@@ -162,22 +163,6 @@ def ring(spark: SparkSession, n: int = 25) -> DataFrame:
     return edges(both, gid("Nation", k), gid("Nation", F.col("to")), eid=(k * 2 + F.col("series")).cast("bigint"))
 
 
-class _Read(dict):
-    """Tables that are read when they are first asked for."""
-
-    def __init__(self, makers: dict):
-        super().__init__()
-        self.makers = makers
-
-    def get(self, name, default=None):
-        if name not in self and name in self.makers:
-            self[name] = self.makers[name]()
-        return super().get(name, default)
-
-    def keys(self):
-        return self.makers.keys()
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     line = {"line": "l_linenumber", "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "returnflag": "l_returnflag", "linestatus": "l_linestatus", "shipdate": "l_shipdate"}
@@ -195,7 +180,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         by = Window.partitionBy("user_id").orderBy("ts", "event_id")
         return read("events").select("event_id", F.lead("event_id").over(by).alias("then")).filter("then IS NOT NULL")
 
-    node_tables = _Read({
+    node_tables = Tables({
         "Region": lambda: nodes(read("region"), "Region", "r_regionkey", {"name": "r_name"}),
         "Nation": lambda: nodes(read("nation"), "Nation", "n_nationkey", {"name": "n_name"}),
         "Party": party,
@@ -208,7 +193,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "Turn": lambda: nodes(turns(), "Turn", "key", {"conv": "conv_id", "turn": "turn", "role": "role", "text": "text"}),
         "Item": lambda: nodes(read("embeddings"), "Item", "vec_id", {"embedding": "embedding", "label": "label"}),
     })
-    edge_tables = _Read({
+    edge_tables = Tables({
         "IN_REGION": lambda: edges(read("nation"), gid("Nation", "n_nationkey"), gid("Region", "n_regionkey"), eid=F.col("n_nationkey").cast("bigint")),
         "FROM_NATION": lambda: edges(read("customer"), gid("Customer", "c_custkey"), gid("Nation", "c_nationkey"), eid=F.col("c_custkey")),
         "BASED_IN": lambda: edges(read("supplier"), gid("Supplier", "s_suppkey"), gid("Nation", "s_nationkey"), eid=F.col("s_suppkey")),

@@ -21,6 +21,9 @@ def session(spark):
         ("MATCH (a:Writer) OPTIONAL MATCH (a)-[r:WROTE]->(t:Text) WHERE r.year > 2020 RETURN a.id AS a, t.id AS t ORDER BY a", [{"a": "alice", "t": None}, {"a": "bob", "t": "t2"}, {"a": "carol", "t": None}, {"a": "dan", "t": None}]),
         ("MATCH (a:Writer)-[:WROTE]->(t) WITH a, count(t) AS n WHERE n > 1 RETURN a.id AS id, n", [{"id": "bob", "n": 2}]),
         ("MATCH (w:Writer) WHERE NOT (w)-[:WROTE]->() RETURN w.id AS id ORDER BY id", [{"id": "carol"}, {"id": "dan"}]),
+        ("MATCH (w:Writer) WHERE w.id = 'dan' OR (w)-[:FRIEND_OF]->() RETURN w.id AS id ORDER BY id", [{"id": "alice"}, {"id": "bob"}, {"id": "dan"}]),
+        ("MATCH (w:Writer) WHERE NOT (w.id = 'dan' OR (w)-[:FRIEND_OF]->()) OR w.id = 'bob' AND (w)-[:WROTE]->() RETURN w.id AS id ORDER BY id", [{"id": "bob"}, {"id": "carol"}]),
+        ("MATCH (a:Writer) OPTIONAL MATCH (a)-[:FRIEND_OF]->(b) WHERE (b)-[:FRIEND_OF]->() RETURN a.id AS a, b.id AS b ORDER BY a", [{"a": "alice", "b": "bob"}, {"a": "bob", "b": None}, {"a": "carol", "b": None}, {"a": "dan", "b": None}]),
         ("UNWIND [1, 2, 3] AS x WITH x WHERE x <> 2 RETURN sum(x) AS s, collect(x) AS l", [{"s": 4, "l": [1, 3]}]),
         ("MATCH (w:Writer) RETURN DISTINCT w.active AS x ORDER BY x", [{"x": False}, {"x": True}]),
         ("RETURN 1 + 2 * 3 AS a, 'x' + 'y' AS b, coalesce(null, 5) AS c, size([1, 2]) AS d", [{"a": 7, "b": "xy", "c": 5, "d": 2}]),

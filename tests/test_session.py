@@ -4,7 +4,7 @@ import pytest
 from graphs import Counter, Status, Text, Writer, Wrote, store
 
 from nodeweave import AsyncSession, MemoryStore, ParquetStore, Repository, Session, select
-from nodeweave.exceptions import ConflictError, ConstraintFailedError, DetachedEntityError, LazyLoadError
+from nodeweave.exceptions import ConflictError, ConstraintFailedError, DetachedEntityError, LazyLoadError, MetadataError
 from nodeweave.migrate import GraphOperations
 
 
@@ -149,13 +149,31 @@ def test_relations_are_gathered(spark):
         s.relate(writers[0], Writer.texts, texts[0], Wrote(year=2001))  # the same ends again: its properties change
         s.relate(writers[0], Writer.peers, writers[1])
         s.relate(writers[1], Writer.peers, writers[0])
+        s.relate(writers[3], Writer.staff, writers[4])
         s.relate(writers[2], Writer.texts, Text(id="nowhere", title=""), Wrote(year=1))
         s.delete(writers[5])
     s = Session(g)
     found = s.execute("MATCH (w:Writer)-[r:WROTE]->(t) RETURN w.id AS w, t.id AS t, r.year AS y ORDER BY w")
     assert [(r["w"], r["t"], r["y"]) for r in found] == [(f"w{i}", f"t{i}", 2001 if i == 0 else 2000) for i in range(5)]
     assert s.execute("MATCH (a)-[r:PEERS]->(b) RETURN count(*) AS n") == [{"n": 1}]
+    assert s.execute("MATCH (a)-[:REPORTS_TO]->(b) RETURN a.id AS a, b.id AS b") == [{"a": "w4", "b": "w3"}]
     kept = Session(g)
     kept.relate(kept.get(Writer, "w0"), Writer.friends, kept.get(Writer, "w1"))
     kept.rollback()
     assert kept.execute("MATCH (a)-[r:FRIEND_OF]->(b) RETURN count(*) AS n") == [{"n": 0}]
+
+
+def test_whole_tables_are_loaded(spark):
+    g = MemoryStore(spark)
+    with Session(g) as s:
+        s.add(Writer(id="w1", name="old"))
+        s.load(Writer, spark.range(5).selectExpr("concat('w', id) AS id", "concat('n', id) AS name"))
+        s.load(Text, spark.range(5).selectExpr("concat('t', id) AS id", "'T' AS title"), merge=False)
+        s.load_relations(Writer, Writer.texts, spark.range(9).selectExpr("concat('w', id) AS source", "concat('t', id) AS target", "int(2000 + id) AS year"))
+        s.load_relations(Writer, Writer.staff, spark.sql("SELECT 'w0' AS source, 'w1' AS target"))
+        with pytest.raises(MetadataError):
+            s.load(Writer, spark.sql("SELECT 'x' AS id, 1 AS nothing"))
+    s = Session(g)
+    assert [(w.id, w.name) for w in sorted(s.query(Writer).all(), key=lambda w: w.id)] == [(f"w{i}", f"n{i}") for i in range(5)]
+    assert sorted(r["y"] for r in s.execute("MATCH (:Writer)-[r:WROTE]->(:Text) RETURN r.year AS y")) == [2000 + i for i in range(5)]
+    assert s.get(Writer, "w1").boss.id == "w0"
