@@ -227,7 +227,7 @@ def within_crowd(rows: DataFrame, crowded: DataFrame, labels: DataFrame, width:
     if many.isEmpty():
         return links
     # Documents that long lists connect are one crowd; those outside its largest component meet all of it.
-    hubs = many.groupBy("v").agg(F.min("id").alias("b"))
+    hubs = stored(many.groupBy("v").agg(F.min("id").alias("b")), "crowd-hubs")
     crowds = components(many.join(hubs, "v").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
     members = cut(named(crowds.select(F.col("node").alias("id"), F.col("label").alias("crowd")), labels))
     by_part = members.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("docs"))
