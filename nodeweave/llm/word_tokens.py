@@ -37,8 +37,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_OTHER.pattern, *added]))
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept = kept
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -47,7 +46,7 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if self.whole.search(x) else _lower(x).split() for x in texts]
+        split = [None if _OTHER.search(x) or any(t in x for t in self.added) else _lower(x).split() for x in texts]
         if len(self.cache) > self.kept:
             self.cache.clear()
         cache = self.cache
