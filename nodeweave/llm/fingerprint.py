@@ -9,8 +9,7 @@ fingerprint is all closed syncmers in the order of the text, each as eight hex d
 first unit of each; its size follows that of the text.
 
 The likeness of two fingerprints matches by position: two anchors in a row agree with two in a row of the other text if
-the hashes and the distance are the same, wherever they stand. It is the Dice coefficient of these links, counted as often
-as they occur. Null text is empty text, with an empty fingerprint. A text with fewer units than a k-mer, or without a syncmer, has
+the hashes and the distance are the same, wherever they stand. It is the Dice coefficient of the distinct links. Null text is empty text, with an empty fingerprint. A text with fewer units than a k-mer, or without a syncmer, has
 one anchor: its own hash. Two empty fingerprints are alike (1), an empty and another are not (0). Equal texts have equal
 fingerprints; hashes that are equal by chance would be taken as one anchor. A text of any length is one row. Other columns,
 of whatever name, are left alone, but for old ones named as the results. An empty table gives no rows. The least long of
@@ -70,32 +69,21 @@ def with_anchors(df: DataFrame, text: str, out: str, *, unit: int = UNIT, k: int
     return df.withColumn(at, F.when(F.size(at) > 0, F.col(at)).otherwise(one(F.lit(0)))).drop(u, m)
 
 
-def links(anchors: str, side: int) -> Column:
-    """Each anchor with the next and the units between them, hashed, with `side` as the lowest bit; of one anchor, itself."""
+def links(anchors: str) -> Column:
+    """The distinct links: each anchor with the next and the units between them, hashed; of one anchor, itself."""
     at = f"{anchors}_at"
-    put = lambda h: h.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side).cast("bigint"))
-    pair = lambda i: put(F.xxhash64(F.get(anchors, i), F.get(anchors, i + 1), F.get(at, i + 1) - F.get(at, i)))
-    return F.when(F.size(anchors) > 1, F.transform(F.sequence(F.lit(0), F.size(anchors) - 2), pair)).otherwise(F.transform(anchors, lambda x: put(F.xxhash64(x))))
+    pair = lambda i: F.xxhash64(F.get(anchors, i), F.get(anchors, i + 1), F.get(at, i + 1) - F.get(at, i))
+    each = F.when(F.size(anchors) > 1, F.transform(F.sequence(F.lit(0), F.size(anchors) - 2), pair)).otherwise(F.transform(anchors, lambda x: F.xxhash64(x)))
+    return F.array_distinct(each)
 
 
 def as_text(anchors: str) -> Column:
     return F.concat_ws("", F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(LOW)))), 8, "0")))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Dice coefficient of the links of two anchor arrays, each link as often as it occurs."""
-    start = F.struct(F.lit(0).cast("bigint").alias("link"), F.lit(0).alias("left"), F.lit(0).alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        # In order, the links of one hash stand together, those of `a` first.
-        link, of_b = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1).cast("bigint")) == 1
-        left = F.when(acc["link"] == link, acc["left"]).otherwise(F.lit(0))
-        hit = of_b & (left > 0)
-        return F.struct(link.alias("link"), F.when(hit, left - 1).when(of_b, left).otherwise(left + 1).alias("left"), F.when(hit, acc["hit"] + 1).otherwise(acc["hit"]).alias("hit"))
-
-    both = F.aggregate(F.sort_array(F.concat(links(a, 0), links(b, 1))), start, step, lambda acc: acc["hit"])
-    count = lambda x: F.greatest(F.size(x) - 1, F.lit(1))
-    share = 2.0 * both / (count(a) + count(b))
+def likeness(a: Column, b: Column) -> Column:
+    """Dice coefficient of two arrays of distinct links."""
+    share = 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
@@ -134,21 +122,21 @@ def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     prepare(docs.sparkSession)
     own = F.when(F.col(doc_id) == NO_ID, F.raise_error(F.lit("the least long can't be an id")).cast("bigint")).otherwise(F.col(doc_id))
     base = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
-    links = cut(successors(base.select("id", "hash", F.length("body").alias("n_chars")).distinct()))
+    following = cut(successors(base.select("id", "hash", F.length("body").alias("n_chars")).distinct()))
     # The texts are dealt by (id, hash) once: as themselves, and as the next of another. Anchors take more room than text, so they are found where the texts meet.
     full = base
     one_by_one = Window.partitionBy("id", "hash").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = full.withColumn("copy", F.count(F.lit(1)).over(one_by_one)).filter("copy = 1")
-    of_next = links.select(F.col("id").alias("p_id"), F.col("hash").alias("p_hash"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.col("next_id").alias("id"), F.col("next_hash").alias("hash"))
+    of_next = following.select(F.col("id").alias("p_id"), F.col("hash").alias("p_hash"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.col("next_id").alias("id"), F.col("next_hash").alias("hash"))
     heads = heads.join(of_next, ["id", "hash"]).select(F.col("p_id").alias("id"), F.col("p_hash").alias("hash"), "half", F.col("body").alias("next_body"))
-    both = full.join(links.select("id", "hash", "n_chars"), ["id", "hash"]).join(heads, ["id", "hash"])
+    both = full.join(following.select("id", "hash", "n_chars"), ["id", "hash"]).join(heads, ["id", "hash"])
     kept = F.substring("body", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
     done = both.withColumn("edited", F.concat(kept, F.substring("next_body", F.lit(1), F.col("half"))))
     for of, out in (("body", "anchors"), ("next_body", "next_anchors"), ("edited", "edited_anchors")):
-        done = with_anchors(done, of, out)
+        done = with_anchors(done, of, out).withColumn(f"{out}_links", links(out))
     return done.select(
         F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"),
-        F.col("anchors_at").alias("fingerprint_at"), F.col("edited_anchors_at").alias("edited_fingerprint_at"), likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"),
+        F.col("anchors_at").alias("fingerprint_at"), F.col("edited_anchors_at").alias("edited_fingerprint_at"), likeness(F.col("anchors_links"), F.col("edited_anchors_links")).alias("near_edited"), likeness(F.col("anchors_links"), F.col("next_anchors_links")).alias("near_next"),
     )
 
 
