@@ -90,7 +90,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fingerprint", **how) -> DataFrame:
     """Add the fingerprint string of every row's text and, as `out`_at, the places of its anchors; other columns stay."""
     prepare(docs.sparkSession)
-    own = [c for c in docs.columns if c not in (out, f"{out}_at")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in (out, f"{out}_at")]
     base = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("__nw_body"))
     return with_anchors(base, "__nw_body", "__nw_anchors", **how).select(*own, as_text("__nw_anchors").alias(out), F.col("__nw_anchors_at").alias(f"{out}_at"))
 

@@ -195,7 +195,7 @@ def fit(
 def identify(docs: DataFrame, model: Model, *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its calibrated probability to every row."""
     prepare(docs.sparkSession)
-    plain = docs.select(*(c for c in docs.columns if c not in (lang_out, score_out)))
+    plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WEIGHTS weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

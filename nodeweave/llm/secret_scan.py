@@ -212,7 +212,7 @@ def scan(docs: DataFrame, *, text: str = "text", out: str = "spans", samples: li
                 spans.append([{"start": s, "kind": kinds[k], "end": e} for s, k, e in sorted(base + model_spans(x or "", base, model))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*own, out])
 
-    plain = docs.select(*own)
+    plain = docs.select(*(F.col(f"`{c}`") for c in own))
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(out, SPAN)]))
 
 

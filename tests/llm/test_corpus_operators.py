@@ -448,3 +448,15 @@ def test_pipeline(spark, tables):
     assert not any("abcdefgh" in (x or "") for x in left.values())
     pieces = corpus_pipeline.run(spark, sf)
     assert {x.doc_id for x in pieces.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_pipeline_on_odd_rows(spark, tables):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, hash string, label string, a int, __nw_x int"
+    rows = [(None, "some words of a text without an id", None, "s", 1, "i", "h", "l", 2, 3), (None, "some words of a text without an id", None, "s", 1, "i", "h", "l", 2, 3), (7, "seven " * 40, None, None, None, None, None, None, None, None), (8, None, "en", "s", 0, "i", "h", "l", 2, 3), (9, "½ 12", "en", "s", 0, "i", "h", "l", 2, 3), (7, "seven " * 40, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [f.name for f in spark.createDataFrame(rows, schema).schema]
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, rows[0][1]), (7, rows[2][1])]  # nothing to learn from: all with a letter stay
+    empty = tables(documents=([], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert corpus_pipeline.run(spark, empty).count() == 0
